@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op3_packing
+from .pii import op1_pii
 from .quality_rules import op2_quality_rules
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
+    "op3_packing": op3_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
