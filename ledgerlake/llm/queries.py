@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from .fingerprints import op7_fingerprints
+from .mixing import ORACLE_SQL as MIXING_SQL
+from .mixing import op6_mixing
 from .packing import op3_packing
 from .pii import op1_pii
 from .quality_rules import op2_quality_rules
+from .secrets import op8_secrets
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op6_mixing": op6_mixing,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_secrets": op8_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": MIXING_SQL,
+}

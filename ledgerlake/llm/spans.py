@@ -12,6 +12,11 @@ SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 CHUNK = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once; else a value used inside a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _running(rows: Column, base: Column) -> Column:
     """(start, end, hit) of each (gap, hit), from code point `base` on."""
     empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)")
@@ -33,19 +38,23 @@ def find(text: Column, pattern: str) -> Column:
     The pattern must not match the empty string. A text is split at the matches, so positions are running sums
     of the lengths of what lies between and of the matches themselves.
     """
-    between = F.split(text, pattern, -1)
-    rows = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hit, i: F.struct(F.char_length(F.get(between, i)).cast("bigint").alias("gap"), hit.alias("hit")))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda c: F.slice(rows, c * CHUNK + 1, CHUNK))
-    width = lambda chunk: F.aggregate(chunk, F.lit(0).cast("bigint"), lambda a, r: a + r["gap"] + F.char_length(r["hit"]))
-    based = F.aggregate(
-        chunks,
-        F.struct(F.lit(0).cast("bigint").alias("pos"), F.expr("cast(array() as array<bigint>)").alias("out")),
-        lambda s, c: F.struct((s["pos"] + width(c)).alias("pos"), F.concat(s["out"], F.array(s["pos"])).alias("out")),
-        lambda s: s["out"],
-    )
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)")
-    many = F.flatten(F.zip_with(chunks, based, _running))
-    return F.when(F.size(rows) == 0, none).when(F.size(rows) <= CHUNK, _running(rows, F.lit(0).cast("bigint"))).otherwise(many)
+    def located(between: Column) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hit, i: F.struct(F.char_length(F.get(between, i)).cast("bigint").alias("gap"), hit.alias("hit")))
+
+    def placed(rows: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda c: F.slice(rows, c * CHUNK + 1, CHUNK))
+        width = lambda chunk: F.aggregate(chunk, F.lit(0).cast("bigint"), lambda a, r: a + r["gap"] + F.char_length(r["hit"]))
+        starts = F.aggregate(
+            chunks,
+            F.struct(F.lit(0).cast("bigint").alias("pos"), F.expr("cast(array() as array<bigint>)").alias("out")),
+            lambda s, c: F.struct((s["pos"] + width(c)).alias("pos"), F.concat(s["out"], F.array(s["pos"])).alias("out")),
+            lambda s: s["out"],
+        )
+        none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)")
+        many = F.flatten(F.zip_with(chunks, starts, _running))
+        return F.when(F.size(rows) == 0, none).when(F.size(rows) <= CHUNK, _running(rows, F.lit(0).cast("bigint"))).otherwise(many)
+
+    return let(let(F.split(text, pattern, -1), located), placed)
 
 
 def spans(text: Column, kind: str, pattern: str, guard: Column, valid: Callable[[Column], Column], score: Callable[[Column, Column], Column]) -> Column:
