@@ -9,16 +9,19 @@ from .packing import op3_packing
 from .pii import op1_pii
 from .quality_rules import op2_quality_rules
 from .secrets import op8_secrets
+from .simhash import op5_simhash
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_fingerprints": op7_fingerprints,
     "op8_secrets": op8_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_simhash": op5_simhash,
     "op6_mixing": MIXING_SQL,
 }
