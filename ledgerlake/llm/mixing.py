@@ -85,7 +85,7 @@ steps AS (
   FROM rates, (SELECT UNNEST(RANGE(0, 150)) AS k)),
 arrays AS (SELECT grp, LIST(upto ORDER BY k) AS upto FROM steps GROUP BY grp),
 drawn AS (
-  SELECT s.*, LEN(LIST_FILTER(a.upto, c -> c <= CAST('0x' || SUBSTR(MD5(COALESCE(s.doc_id::VARCHAR, '') || ':{SEED}'), 1, 13) AS BIGINT) / 4503599627370496.0)) AS n
+  SELECT s.*, LEN(LIST_FILTER(a.upto, lambda c: c <= CAST('0x' || SUBSTR(MD5(COALESCE(s.doc_id::VARCHAR, '') || ':{SEED}'), 1, 13) AS BIGINT) / 4503599627370496.0)) AS n
   FROM sized s JOIN arrays a ON s.grp IS NOT DISTINCT FROM a.grp),
 copies AS (SELECT doc_id, text, lang, source, n_chars, UNNEST(RANGE(0, n)) AS copy FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, copy, MD5(COALESCE(doc_id::VARCHAR, '') || ':{SEED}:' || copy) AS shuffle_key FROM copies

@@ -10,6 +10,8 @@ from .pii import op1_pii
 from .quality_rules import op2_quality_rules
 from .secrets import op8_secrets
 from .simhash import op5_simhash
+from .warc import ORACLE_SQL as WARC_SQL
+from .warc import op10_warc
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -19,9 +21,11 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_fingerprints": op7_fingerprints,
     "op8_secrets": op8_secrets,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_simhash": op5_simhash,
     "op6_mixing": MIXING_SQL,
+    "op10_warc": WARC_SQL,
 }
