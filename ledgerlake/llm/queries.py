@@ -7,6 +7,7 @@ from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import op6_mixing
 from .packing import op3_packing
 from .pii import op1_pii
+from .quality_model import op9_quality_model
 from .quality_rules import op2_quality_rules
 from .secrets import op8_secrets
 from .simhash import op5_simhash
@@ -21,11 +22,13 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_fingerprints": op7_fingerprints,
     "op8_secrets": op8_secrets,
+    "op9_quality_model": op9_quality_model,
     "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_simhash": op5_simhash,
     "op6_mixing": MIXING_SQL,
+    "op9_quality_model": op9_quality_model,
     "op10_warc": WARC_SQL,
 }
