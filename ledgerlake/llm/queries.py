@@ -11,6 +11,7 @@ from .quality_model import op9_quality_model
 from .quality_rules import op2_quality_rules
 from .secrets import op8_secrets
 from .simhash import op5_simhash
+from .substrings import op4_substrings
 from .warc import ORACLE_SQL as WARC_SQL
 from .warc import op10_warc
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op4_substrings": op4_substrings,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_fingerprints": op7_fingerprints,
@@ -27,6 +29,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substrings": op4_substrings,
     "op5_simhash": op5_simhash,
     "op6_mixing": MIXING_SQL,
     "op9_quality_model": op9_quality_model,
