@@ -247,3 +247,14 @@ def written(fp: Column) -> Column:
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     fps = cut(fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return near_duplicates(fps).select("doc_id", written(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """docs without those that have a near-duplicate with a smaller key; rows that repeat a key stay once, null keys stay."""
+    fps = cut(fingerprints(docs.select(key, text)))
+    groups = near_duplicates(fps, key, distance)
+    first = groups.where(F.col("component_id") == F.col(key)).select(key).distinct()
+    kept = docs.join(first, key, "left_semi")
+    if not fps.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
