@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import plus, read
 
 TOKENS, SEGMENTS, CLOSING_ID, POOL = 4096, 1024, 2, 512
 #: Words whose ids are remembered by a Python worker, for each of two tables.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 
 class WordIds:
@@ -48,24 +49,34 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        # the signs by which a byte-level model writes bytes: printable Latin-1 as it is, the others from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.signs = dict(zip(plain, plain, strict=True)) | {b: 256 + k for k, b in enumerate(others)}
+
+    def part(self, text: str) -> bytes:
+        """Ids of a run of lower-case letters or of marks, straight from the model."""
+        if text not in self.parts:
+            found = self.model.tokenize(text.encode().decode("latin-1").translate(self.signs))
+            self.parts[text] = np.array([x.id for x in found], "<u4").tobytes()
+        return self.parts[text]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.words) > REMEMBERED:
             self.words = {}
         if len(self.parts) > REMEMBERED:
             self.parts = {"": b""}
-        split: dict[bytes, tuple[str, str]] = {}
-        for w in words - self.words.keys():
+        for w in words:
+            if w in self.words:
+                continue
             word = w.decode("utf-8", "replace")
-            m = self.LETTERS_THEN_MARKS.fullmatch(word)
-            split[w] = (m[1].lower(), m[2]) if m else (word, "")
-        new = list({p for both in split.values() for p in both} - self.parts.keys())
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(found.ids, "<u4").tobytes()
-        for w, (a, b) in split.items():
-            self.words[w] = self.parts[a] + self.parts[b]
+            if m := self.LETTERS_THEN_MARKS.fullmatch(word):
+                self.words[w] = self.part(m[1].lower()) + self.part(m[2])
+            else:
+                self.words[w] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
@@ -77,6 +88,12 @@ class WordIds:
                 yield b"".join(map(self.words.__getitem__, words))
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One table for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 @dataclass
 class Item:
     """ids from start on are still to be placed; those from `loss` on bear loss."""
@@ -174,7 +191,7 @@ def pack(
     closing = np.array([closing_id], "<u4").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = WordIds(tokenizer), Packer(limits, pool)
+        ids_of, packer = word_ids(tokenizer), Packer(limits, pool)
         sequence, out, key_types = TaskContext.get().partitionId() << 32, [], None
 
         def put(pieces):
