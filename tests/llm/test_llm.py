@@ -365,6 +365,26 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(edges.where("u < 0")).count() == 0
 
 
+def test_near_copies(spark):
+    rng = random.Random(21)
+    texts = [None, "", "one", "ONE", "one two"]
+    for _ in range(25):
+        base = words(rng, 260, 6000).split()
+        for edits in (0, 0, 1, 2, 4, 40):
+            w = base[:]
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"e{rng.random()}"
+            texts.append(" ".join(w))
+    ids = rng.sample(range(5000), len(texts))
+    docs = table(spark, texts, ids)
+    sets = {i: set(simhash.shingle_set(t or "", 5)) for i, t in zip(ids, texts, strict=True)}
+    roots = brute_components(sorted(ids), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()}
+    want = set(roots.values())
+    assert want <= kept and len(kept - want) <= 3, (len(kept), len(want))
+    assert simhash.one_of_each_group(table(spark, [])).count() == 0
+
+
 # mixing
 
 
