@@ -346,3 +346,60 @@ def offload_card(text: str, described: str | None, threshold: int = OFFLOAD_TOKE
     except ValueError:
         shape = f"shape: text, {text.count(chr(10)) + 1} lines"
     return "\n".join([f"[held] {len(data)} bytes, about {size} tokens, over the threshold of {threshold}", f"handle: {hashlib.sha256(data).hexdigest()}", clip(described, DESCRIBED) if described else shape, "preview:", clip(text, PREVIEW)])
+
+
+@dataclass(frozen=True)
+class Compressor:
+    """Settings for reducing payloads; exactly one of target, reduction and whole is set."""
+
+    target: int | None = None
+    reduction: float | None = None
+    whole: bool = False
+    least: int = LEAST_BYTES
+
+    def __post_init__(self):
+        if (self.target is not None) + (self.reduction is not None) + self.whole != 1:
+            raise ValueError("a target, a reduction, or the whole")
+
+    def __call__(self, payload: bytes) -> list[Segment]:
+        return reduce_to(payload, self.target, self.reduction, self.whole, self.least)
+
+
+def rewrite_bodies(df: DataFrame, key: str, body: str, shape: str = "messages", **options) -> DataFrame:
+    """(key, body, kind, bytes_before, bytes_after, segments) of many request bodies; what can't be read passes through."""
+    schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", "body string", "kind string", "bytes_before bigint", "bytes_after bigint", f"segments {SEGMENTS}"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text in b.column(1).to_pylist():
+                new, kind, held = rewrite_body(text or "", shape, **options)
+                rows.append((new, kind, len((text or "").encode()), len(new.encode()), [{"data": s.data, "hash": s.hash, "summary": s.summary, "original_len": len(s.data)} for s in held if s.hash]))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), _SEGMENTS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, "body", "kind", "bytes_before", "bytes_after", "segments"])
+
+    return df.select(key, body).mapInArrow(made, schema)
+
+
+def metrics(rewritten: DataFrame) -> DataFrame:
+    """(kind, bodies, bytes_before, bytes_saved) of rewrite_bodies."""
+    return rewritten.groupBy("kind").agg(F.count(F.lit(1)).alias("bodies"), F.sum("bytes_before").alias("bytes_before"), F.sum(F.col("bytes_before") - F.col("bytes_after")).alias("bytes_saved"))
+
+
+def capture(rewritten: DataFrame, path: str) -> None:
+    """Writes what was done to each body as JSON lines, without the bodies."""
+    rewritten.select(F.col(rewritten.columns[0]).alias("seq"), "kind", "bytes_before", "bytes_after", (F.col("bytes_before") - F.col("bytes_after")).alias("delta")).write.mode("append").json(path)
+
+
+def truncation_window(costs: Sequence[int], budget: int) -> list[int]:
+    """Rows that a view without an index keeps: from the front and the back in turn while they fit the budget."""
+    kept, front, back, left, at_front = [], 0, len(costs) - 1, budget, True
+    while front <= back:
+        k = front if at_front else back
+        if costs[k] > left:
+            break
+        kept.append(k)
+        left -= costs[k]
+        front, back, at_front = (front + 1, back, False) if at_front else (front, back - 1, True)
+    return sorted(kept)
