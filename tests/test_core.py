@@ -266,3 +266,15 @@ def test_typed_queries_match_their_sql(spark):
         want = con.sql(ORACLE_SQL[name]).fetchall()
         cols = [x[0] for x in con.sql(ORACLE_SQL[name]).description]
         assert sorted(map(repr, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(repr, want)), name
+
+
+def test_percentiles_by_nearest_rank(spark):
+    from ledgerlake.sources.rel import from_table
+
+    rng = random.Random(5)
+    values = [float(rng.randint(0, 60)) for _ in range(333)]
+    r = from_table(spark.createDataFrame(list(enumerate(values)), "id long, v double"), "id")
+    for p in (1, 50, 99):
+        row = groups.percentile(r, "v", p).first()
+        assert (row["status"], row["value"], row["n"]) == ("ok", sorted(values)[-(-p * 333 // 100) - 1], 333)
+    assert groups.percentile(from_json(spark, '[{"v":1},{"v":"x"}]'), "v", 50).first()["status"] == "refused"
