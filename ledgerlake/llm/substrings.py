@@ -349,12 +349,12 @@ def compare(runs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text and spans (array of [start, end) in bytes, ascending and apart) of the repeats of each row of docs."""
     spark = docs.sparkSession
-    held = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.col(key), text_of(text).cast("binary").alias("bytes"))
+    held = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_ID)).alias("doc"), text_of(text).cast("binary").alias("bytes"))
     path = scratch_path(spark, "runs")
-    settle(find_runs(held.select("doc", "bytes"))).write.parquet(path)
+    settle(find_runs(held)).write.parquet(path)
     known = spark.read.schema(RUNS).parquet(path)
     asked = known.where("n > 0").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "n")).alias("asked"))
-    # a left join keeps both exchanges of the texts alike, so there is one
+    # both joins deal out the same columns of the texts, so Spark does it once
     opened = held.join(asked, "doc", "left").select("doc", "bytes", F.explode("asked").alias("r"))
     piece = F.expr(f"substring(bytes, cast(r.start + 1 as int), r.n + {LENGTH - 1})")
     fine = compare(opened.select("r.key", "doc", "r.start", "r.n", piece.alias("piece")))
@@ -362,7 +362,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         known.where("n < 0").select("doc", "start", F.col("n").cast("bigint").alias("n")).unionByName(fine)
         .groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") - F.col("n")).alias("end"))).alias("found"))
     )
-    return held.join(spans, "doc", "left").select(key, F.col("bytes").alias(text), "found")
+    id_ = F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(docs.schema[key].dataType)
+    return held.join(spans, "doc", "left").select(id_.alias(key), F.col("bytes").alias(text), "found")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
