@@ -182,3 +182,25 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     judged = judge(read(spark, sf_dir, "documents").select("doc_id", "text"), metrics=True)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, t, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         LIST_FILTER(STRING_SPLIT(t, CHR(10)), lambda x: REGEXP_MATCHES(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM (SELECT doc_id, COALESCE(text, '') AS t FROM documents)),
+places AS (SELECT doc_id, ws, UNNEST(RANGE(1, LEN(ws) - 6)) AS i FROM d WHERE LEN(ws) >= 8),
+windows AS (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, ARRAY_TO_STRING(ws[i:i + 7], ' ')) AS n FROM places),
+covered AS (SELECT doc_id, COUNT(DISTINCT i + k) AS n FROM windows, (SELECT UNNEST(RANGE(0, 8)) AS k) WHERE n > 1 GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, LEN(ws)::BIGINT AS n_words, COALESCE(LIST_SUM(LIST_TRANSFORM(ws, lambda x: LENGTH(x))), 0)::BIGINT AS word_chars,
+         LENGTH(REGEXP_REPLACE(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (LEN(ls) - LEN(LIST_DISTINCT(ls)))::BIGINT AS n_dup_lines, COALESCE(c.n, 0)::BIGINT AS n_repeat_words,
+         COALESCE(LIST_SUM(LIST_TRANSFORM(ls, lambda x: STRLEN(x))), 0) - COALESCE(LIST_SUM(LIST_TRANSFORM(LIST_DISTINCT(ls), lambda x: STRLEN(x))), 0) AS dup_bytes, STRLEN(t) AS n_bytes,
+         LEN(LIST_FILTER(RANGE(2, LEN(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_stutter,
+         LENGTH(REGEXP_REPLACE(t, '[^A-Z]', '', 'g')) AS upper, LENGTH(REGEXP_REPLACE(t, '[^a-z]', '', 'g')) AS lower
+  FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 10 * dup_bytes > 3 * n_bytes OR 10 * n_stutter > 3 * n_words
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * upper > GREATEST(1, upper + lower)) AS kept
+FROM m
+"""

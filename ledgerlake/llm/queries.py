@@ -8,9 +8,11 @@ from .mixing import op6_mixing
 from .packing import op3_packing
 from .pii import op1_pii
 from .quality_model import op9_quality_model
+from .quality_rules import ORACLE_SQL as RULES_SQL
 from .quality_rules import op2_quality_rules
 from .secrets import op8_secrets
 from .simhash import op5_simhash
+from .substrings import ORACLE_SQL as SUBSTRINGS_SQL
 from .substrings import op4_substrings
 from .warc import ORACLE_SQL as WARC_SQL
 from .warc import op10_warc
@@ -31,6 +33,8 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_substrings": op4_substrings,
     "op5_simhash": op5_simhash,
+    "op2_quality_rules": RULES_SQL,
+    "op4_substrings": SUBSTRINGS_SQL,
     "op6_mixing": MIXING_SQL,
     "op9_quality_model": op9_quality_model,
     "op10_warc": WARC_SQL,

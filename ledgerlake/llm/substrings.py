@@ -386,3 +386,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def op4_substrings(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, HEX(ENCODE(COALESCE(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, UNNEST(RANGE(0, LENGTH(h) // 2 - 99)) AS p FROM d WHERE LENGTH(h) >= 200),
+r AS (SELECT doc_id, p, ROW_NUMBER() OVER (PARTITION BY MD5(SUBSTR(h, 2 * p + 1, 200)) ORDER BY doc_id, p) AS k FROM p),
+s AS (SELECT doc_id, p, CASE WHEN p <= LAG(p) OVER w + 100 THEN 0 ELSE 1 END AS fresh FROM r WHERE k > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT doc_id, p, SUM(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM s),
+spans AS (SELECT doc_id, MIN(p) AS a, MAX(p) + 100 AS b FROM g GROUP BY doc_id, g),
+kept AS (SELECT doc_id, COALESCE(LAG(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans UNION ALL SELECT doc_id, MAX(b), 1000000000 FROM spans GROUP BY doc_id),
+texts AS (SELECT d.doc_id, STRING_AGG(SUBSTR(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM kept JOIN d ON d.doc_id = kept.doc_id GROUP BY d.doc_id),
+sums AS (SELECT doc_id, SUM(b - a) AS n, COUNT(*) AS c FROM spans GROUP BY doc_id)
+SELECT d.doc_id, LENGTH(h) // 2 AS n_bytes, COALESCE(n, 0)::BIGINT AS n_removed, COALESCE(c, 0)::BIGINT AS n_spans, SHA256(UNHEX(COALESCE(t.k, h))) AS kept_sha256
+FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id LEFT JOIN texts t ON d.doc_id = t.doc_id
+"""
