@@ -16,7 +16,7 @@ gives no pieces. Of further columns only those named in `keys` are kept.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -34,6 +34,18 @@ TOKENS, SEGMENTS, CLOSING_ID, POOL = 4096, 1024, 2, 512
 REMEMBERED = 500_000
 
 
+class Words(dict):
+    """Values by word; one that is missing is made and kept."""
+
+    def __init__(self, made: Callable[[bytes], bytes]):
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = found = self.made(word)
+        return found
+
+
 class WordIds:
     """The ids of whole texts, as bytes of little-endian uint32, by way of a table of words.
 
@@ -50,7 +62,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.words: dict[bytes, bytes] = {}
+        self.words = Words(self.whole)
         self.parts: dict[str, bytes] = {"": b""}
         # the signs by which a byte-level model writes bytes: printable Latin-1 as it is, the others from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -64,28 +76,20 @@ class WordIds:
             self.parts[text] = np.array([x.id for x in found], "<u4").tobytes()
         return self.parts[text]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        for w in words:
-            if w in self.words:
-                continue
-            word = w.decode("utf-8", "replace")
-            if m := self.LETTERS_THEN_MARKS.fullmatch(word):
-                self.words[w] = self.part(m[1].lower()) + self.part(m[2])
-            else:
-                self.words[w] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, w: bytes) -> bytes:
+        """Ids of a word."""
+        word = w.decode("utf-8", "replace")
+        if m := self.LETTERS_THEN_MARKS.fullmatch(word):
+            return self.part(m[1].lower()) + self.part(m[2])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            words = text.encode("utf-8", "replace").split()
-            try:
-                yield b"".join(map(self.words.__getitem__, words))
-            except KeyError:
-                self.learn(set(words))
-                yield b"".join(map(self.words.__getitem__, words))
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+            if len(self.parts) > REMEMBERED:
+                self.parts = {"": b""}
+            yield b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 @cache
