@@ -32,8 +32,8 @@ from .common import HEAVY_KEYS, cut, plus, read, salted_join
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints of a key that are compared in one block, and columns of a batch of keys.
 BLOCK, BATCH = 4096, 50_000
-#: Near copies share so many of their shingles of so many words; fingerprints by which they are proposed, and neighbours that each proposes.
-WORDS, SIMILARITY, TABLES, NEAREST = 5, 0.8, 6, 4
+#: Near copies share so many of their shingles of so many words; fingerprints by which they are proposed, and nearest neighbours that each proposes.
+WORDS, SIMILARITY, TABLES, NEAREST = 5, 0.8, 6, 2
 
 
 def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -282,8 +282,8 @@ def propose(fps: np.ndarray, nodes: np.ndarray, distance: int, first: bool) -> I
     """Pairs of a key's rows (fingerprints ascend, nodes ascend within) to be looked at: a number in proportion to the rows.
 
     Nodes of one fingerprint are paired with the least of them (only where `first`, as they meet under many keys).
-    Fingerprints within the distance are paired by their least nodes: each with its NEAREST nearest and its NEAREST
-    least neighbours.
+    Fingerprints within the distance are paired by their least nodes: each with its NEAREST nearest neighbours and
+    the least one.
     """
     starts = np.flatnonzero(np.append(True, fps[1:] != fps[:-1]))
     distinct, least = fps[starts], nodes[starts]
@@ -294,8 +294,8 @@ def propose(fps: np.ndarray, nodes: np.ndarray, distance: int, first: bool) -> I
     for k in range(len(distinct) if len(distinct) > 1 else 0):
         d = np.bitwise_count(distinct ^ distinct[k])
         hit = np.flatnonzero(d <= distance)
-        if len(hit) > 2 * NEAREST + 1:
-            hit = np.unique(np.concatenate((hit[np.argsort(d[hit], kind="stable")[: NEAREST + 1]], hit[np.argsort(least[hit], kind="stable")[:NEAREST]])))
+        if len(hit) > NEAREST + 2:
+            hit = np.append(hit[np.argsort(d[hit], kind="stable")[: NEAREST + 1]], hit[np.argmin(least[hit])])
         for j in hit.tolist():
             if j != k:
                 yield int(least[k]), int(least[j])
