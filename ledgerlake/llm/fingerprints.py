@@ -13,6 +13,8 @@ an empty result. Likeness of two empty sketches is 1, of one empty and one other
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from .spans import let
 WORDS, FRACTION = 5, 1 / 8
 LIMIT = -(2**63) + int(2**64 * FRACTION)
 #: Rows of a range of ids between which the documents are dealt, and the most ranges (beyond, they hold more rows).
-BLOCK_ROWS, MOST_BLOCKS = 20_000, 4_000
+BLOCK_ROWS, MOST_BLOCKS = 4_000, 16_000
 
 
 def sketch(text: Column) -> Column:
@@ -59,13 +61,18 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+def _list(values: list[int | None]) -> Column:
+    """An array that is one literal, however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
 def _below(cuts: list[int], key: Column) -> Column:
-    """How many of the ascending cuts are less than key: among every 64th first, then among the 64 from there."""
+    """How many of the ascending cuts are less than key: among every 128th first, then among the 128 from there."""
     count = lambda array: F.size(F.filter(array, lambda c: c < key))
     if not cuts:
         return F.lit(0)
-    every, wide = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[::64]))
-    return let(count(wide), lambda n: F.when(n == 0, 0).otherwise((n - 1) * 64 + count(F.slice(every, (n - 1) * 64 + 1, 64))))
+    near = lambda n: F.slice(_list(cuts), (n - 1) * 128 + 1, 128)
+    return let(count(_list(cuts[::128])), lambda n: F.when(n == 0, 0).otherwise((n - 1) * 128 + count(near(n))))
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -87,9 +94,12 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     tops = {r["b"]: r["top"] for r in ids.groupBy(block.alias("b")).agg(F.max("_k").alias("top")).collect()}
     order = sorted(tops)
     above = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    guest_of = F.create_map(*[F.lit(x) for b in order for x in (tops[b], above[b])])[F.col("_k")]
-    # the greatest key of all is the guest of the lowest range
-    placed = held.withColumn("_at", F.explode(F.filter(F.array(F.struct(block.alias("b"), F.lit(0).alias("guest")), F.struct(guest_of.alias("b"), F.lit(1).alias("guest"))), lambda s: s["b"].isNotNull())))
+    every = range(max(order) + 1)
+    own = let(block, lambda b: F.struct(b.cast("bigint").alias("b"), F.get(_list([tops.get(k) for k in every]), b).alias("top"), F.get(_list([above.get(k) for k in every]), b).alias("above")))
+    # a range's greatest key is the guest of the range above; the greatest of all is that of the lowest range
+    host = F.array(F.struct(F.col("_own.b").alias("b"), F.lit(0).alias("guest")))
+    guest = F.array(F.struct(F.col("_own.above").alias("b"), F.lit(1).alias("guest")))
+    placed = held.withColumn("_own", own).withColumn("_at", F.explode(F.when(F.col("_own.top") == F.col("_k"), F.concat(host, guest)).otherwise(host)))
     w = Window.partitionBy("_at.b").orderBy("_at.guest", F.desc("_k"), F.xxhash64(text))
     return placed.withColumn("next_text", F.lead(text).over(w)).where(F.col("_at.guest") == 0).select(key, text, "next_text")
 
