@@ -31,11 +31,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_substrings": op4_substrings,
-    "op5_simhash": op5_simhash,
     "op2_quality_rules": RULES_SQL,
     "op4_substrings": SUBSTRINGS_SQL,
     "op6_mixing": MIXING_SQL,
-    "op9_quality_model": op9_quality_model,
     "op10_warc": WARC_SQL,
 }
