@@ -6,7 +6,8 @@ places; so only windows of one anchor have to be compared, and about one row for
 
 Equal runs (XXH3 of the bytes) are settled first: all but the earliest are repeats as a whole. They are found
 within each batch before the shuffle and then while streaming through each partition, sorted by anchor, so a
-hot anchor is one row for each batch that has it. What is left are different runs of one anchor. Their windows
+hot anchor is one row for each batch that has it. What is left are different runs of one anchor; an anchor with
+very many of them is dealt in parts, each with the windows of a few distances from it. Their windows
 are the suffixes that start at one distance before the anchor; each such bucket is sorted by mergesort, two
 suffixes being compared by prefix polynomial hashes and a binary search for their common extension. Neighbours
 that agree in LENGTH bytes are verified byte by byte; should hashes collide, that bucket is sorted anew by its
@@ -28,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, read, scratch_path, text_of
+from .common import HEAVY_KEYS, plus, read, scratch_path, text_of
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes hashed, and suffixes sorted, at a time.
 CHUNK, SUFFIXES = 1 << 20, 400_000
+#: An anchor with more different runs than HEAVY_RUNS is dealt in parts of so many distances (at most HEAVY_KEYS are).
+HEAVY_RUNS, PART = 300, 5
 BASE = 0x9E3779B97F4A7C15
 NULL_ID = -(2**63)
 RUNS = "key bigint, doc bigint, start bigint, n int, content bigint"
@@ -297,8 +300,11 @@ def repeats(text: bytes, at: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 
 
 def compare(runs: DataFrame) -> DataFrame:
-    """Intervals (doc, start, n) of windows that an earlier run of the same anchor has. runs: key, doc, start, n, piece."""
-    dealt = runs.repartition("key").sortWithinPartitions("key", "doc", "start")
+    """Intervals (doc, start, n) of windows that an earlier run of the same anchor has. runs: key, part, doc, start, n, piece.
+
+    Of an anchor whose runs come in parts, a part is the windows of some distances; part -1 is all windows.
+    """
+    dealt = runs.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "start")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -306,18 +312,20 @@ def compare(runs: DataFrame) -> DataFrame:
 
         def intervals(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             """rows: whole anchors; the suffixes of an anchor are taken by their distances from it, as many at a time as fit."""
-            doc, start, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-            group = np.cumsum(np.append(0, [x[0] != y[0] for x, y in zip(rows[1:], rows, strict=False)]))
-            text = b"".join(r[4] for r in rows)
-            offset = np.append(0, np.cumsum([len(r[4]) for r in rows]))[:-1]
+            part, doc, start, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4))
+            group = np.cumsum(np.append(0, [x[:2] != y[:2] for x, y in zip(rows[1:], rows, strict=False)]))
+            text = b"".join(r[5] for r in rows)
+            offset = np.append(0, np.cumsum([len(r[5]) for r in rows]))[:-1]
             # the anchor: the first k-gram of the first window with the least hash
             grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(np.frombuffer(text, np.uint8)), LENGTH - ANCHOR + 1)
             ahead = np.concatenate([grams[offset[i : i + 50_000]].argmin(1) for i in range(0, len(rows), 50_000)])
+            # a row's windows are those whose anchor is least to most bytes in
+            least = np.maximum(part, 0) * PART
+            most = np.where(part < 0, LENGTH, least + PART - 1)
             step = max(1, SUFFIXES // len(rows))
             for low in range(0, LENGTH - ANCHOR + 1, step):
-                # windows whose anchor is low to low + step - 1 bytes in
-                a = np.maximum(ahead - (low + step - 1), 0)
-                z = np.minimum(ahead - low, n - 1)
+                a = np.maximum(ahead - np.minimum(low + step - 1, most), 0)
+                z = np.minimum(ahead - np.maximum(low, least), n - 1)
                 count = np.maximum(z - a + 1, 0)
                 row = np.repeat(np.arange(len(rows)), count)
                 if not len(row):
@@ -333,13 +341,13 @@ def compare(runs: DataFrame) -> DataFrame:
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and row[:3] == held[-1][:3]:  # a repeated row
+                if held and row[:4] == held[-1][:4]:  # a repeated row
                     continue
-                if held and row[0] != held[-1][0] and size >= SUFFIXES:
+                if held and row[:2] != held[-1][:2] and size >= SUFFIXES:
                     yield from intervals(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[3]
+                size += row[4]
         if held:
             yield from intervals(held)
 
@@ -353,11 +361,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     path = scratch_path(spark, "runs")
     settle(find_runs(held)).write.parquet(path)
     known = spark.read.schema(RUNS).parquet(path)
-    asked = known.where("n > 0").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "n")).alias("asked"))
+    open_ = known.where("n > 0")
+    heavy = open_.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HEAVY_RUNS).orderBy(F.desc("c"), "key").limit(HEAVY_KEYS).select(F.col("key").alias("_heavy"))
+    parts = F.when(F.col("_heavy").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit((LENGTH - ANCHOR) // PART)))
+    dealt = open_.join(F.broadcast(heavy), F.col("key") == F.col("_heavy"), "left").withColumn("part", F.explode(parts))
+    asked = dealt.groupBy("doc").agg(F.collect_list(F.struct("key", "part", "start", "n")).alias("asked"))
     # both joins deal out the same columns of the texts, so Spark does it once
     opened = held.join(asked, "doc", "left").select("doc", "bytes", F.explode("asked").alias("r"))
     piece = F.expr(f"substring(bytes, cast(r.start + 1 as int), r.n + {LENGTH - 1})")
-    fine = compare(opened.select("r.key", "doc", "r.start", "r.n", piece.alias("piece")))
+    fine = compare(opened.select("r.key", "r.part", "doc", "r.start", "r.n", piece.alias("piece")))
     spans = (
         known.where("n < 0").select("doc", "start", F.col("n").cast("bigint").alias("n")).unionByName(fine)
         .groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") - F.col("n")).alias("end"))).alias("found"))
