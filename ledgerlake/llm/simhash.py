@@ -18,6 +18,7 @@ unless all its ids are null. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,13 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY_KEYS, cut, plus, read, salted_join
+from .common import HEAVY_KEYS, cut, plus, read, salted_join, scratch_path
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints of a key that are compared in one block, and columns of a batch of keys.
 BLOCK, BATCH = 4096, 50_000
 #: Near copies share so many of their shingles of so many words; fingerprints by which they are proposed, and nearest neighbours that each proposes.
 WORDS, SIMILARITY, TABLES, NEAREST = 5, 0.8, 6, 2
+#: Texts of the sample in which shingles count as common, beyond so many of its texts, and the most that are listed.
+SAMPLE, COMMON, MOST_COMMON = 50_000, 4, 100_000
+#: Rows and shingles of a group of texts that are compared in one block.
+GROUP_ROWS, GROUP_SHINGLES = 2048, 2_000_000
 
 
 def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -251,7 +256,7 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(fps).select("doc_id", written(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# Near copies by shingle similarity: several fingerprints propose, shingles decide.
+# Near copies by shingle similarity: all pairs of texts that may be alike meet by their rarest shingles, and the sets decide.
 
 def word_fingerprints(text: str, tables: int) -> tuple[int, list[int]]:
     """(hash of the lower-cased words, a fingerprint of the set of words for each table), unsigned."""
@@ -349,37 +354,196 @@ def proposed(nodes: DataFrame, tables: int, distance: int = DISTANCE) -> DataFra
     return dealt.mapInArrow(met, "u bigint, v bigint").distinct()
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
-    """(node, component_id): the least key of each group of texts with equal words, and the least key of its near copies.
+def sorted_shingles(text: str, words: int) -> np.ndarray:
+    return np.sort(np.array(shingle_set(text, words), np.int64))
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set in one order for all texts: by hash, then the common ones (ascending hashes) by their ranks.
+
+    Two sets whose Jaccard similarity is at least `similarity` have one of these in common, whatever the order.
+    """
+    hashes, ranks = common
+    rank = np.zeros(len(shingles), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        rank = np.where(hashes[at] == shingles, ranks[at], 0)
+    return shingles[np.lexsort((shingles, rank))][: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
+
+
+def common_shingles(docs: DataFrame, n: int, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending hashes, ranks) of shingles of several texts of a sample, the most common ranked last. They only change the order in prefix(), not what it finds."""
 
-    Pairs are proposed where one of `tables` SimHashes of the words differs in at most three bits, and kept if the
-    Jaccard similarity of their sets of shingles of `words` words is at least `similarity`. At that similarity one
-    fingerprint proposes a pair with a probability of about 0.4, six with 0.96, and more above it.
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                sets = [sorted_shingles(t or "", words) for t in b.column(0)[at : at + 200].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["shingle"])
+
+    share = max(1, n // SAMPLE)
+    counted = docs.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select(text).mapInArrow(made, "shingle bigint").groupBy("shingle").count()
+    found = np.array([r["shingle"] for r in counted.where(F.col("count") > COMMON).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()], np.int64)
+    by_hash = np.argsort(found)
+    return found[by_hash], len(found) - by_hash
+
+
+def met_by_prefix(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], text: str, words: int, similarity: float) -> DataFrame:
+    """(hub, node, n): groups of nodes, named by their least, such that each pair that is alike is together in one at least.
+
+    Nodes that share a shingle of their prefixes are together, but for those whose sizes n are too far apart.
+    Groups with an equal hub are one, so the many shingles that near copies share make few groups.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [word_fingerprints(t or "", tables) for t in b.column(1).to_pylist()]
-            content = np.array([c for c, _ in found], np.uint64).view(np.int64)
-            fps = np.array([f for _, f in found], np.uint64).view(np.int64).reshape(-1, tables)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content), pa.array(list(fps), pa.list_(pa.int64()))], names=["id", "content", "fps"])
+            for at in range(0, b.num_rows, 200):
+                sets = [sorted_shingles(t or "", words) for t in b.column(1)[at : at + 200].to_pylist()]
+                first = [prefix(s, common, similarity) for s in sets]
+                many = [len(f) for f in first]
+                node = b.column(0)[at : at + 200].to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(first)), pa.array(np.repeat([len(s) for s in sets], many)), pa.array(np.repeat(node, many))], names=["shingle", "n", "node"]
+                )
+
+    dealt = docs.select("node", text).mapInArrow(made, "shingle bigint, n bigint, node bigint").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        found: set[tuple[int, int, int]] = set()
+
+        def group(shingle: np.ndarray, n: np.ndarray, node: np.ndarray) -> None:
+            # a run: one shingle, and no step in size over which nothing is alike
+            starts = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (n[:-1] < similarity * n[1:] - 1e-6)))
+            ends = np.append(starts[1:], len(shingle))
+            many = ends - starts > 1
+            for a, z in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+                hub = int(node[a:z].min())
+                found.update((hub, x, k) for x, k in zip(node[a:z].tolist(), n[a:z].tolist(), strict=True))
+
+        def out() -> pa.RecordBatch:
+            columns = np.array(list(found), np.int64).reshape(-1, 3).T
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["hub", "node", "n"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [np.concatenate((h, c.to_numpy(zero_copy_only=False).astype(np.int64))) for h, c in zip(held, b.columns, strict=True)]
+            whole = int(np.searchsorted(rows[0], rows[0][-1]))
+            if whole:
+                group(*(r[:whole] for r in rows))
+            held = [r[whole:] for r in rows]
+            if len(found) >= BATCH:
+                yield out()
+        if len(held[0]):
+            group(*held)
+        yield out()
+
+    return dealt.mapInArrow(grouped, "hub bigint, node bigint, n bigint").distinct()
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest of sets, each without repeats, whose Jaccard similarity is at least `similarity`.
+
+    Each set that is reached is compared with those that are not yet, as in forest(). One less the similarity is
+    a metric; so two sets are not compared if their distances from the tree's root differ by more than the limit.
+    """
+    sizes = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    marked = np.zeros(len(ids), bool)
+
+    def compared(one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether alike, distance) of each of the others."""
+        marked[own[one]] = True
+        shared = np.add.reduceat(marked[np.concatenate([own[k] for k in others.tolist()])], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        marked[own[one]] = False
+        union = sizes[one] + sizes[others] - shared
+        return shared >= similarity * union, 1 - shared / union
+
+    rest = np.arange(len(sets))
+    while len(rest) > 1:
+        root, rest = int(rest[0]), rest[1:]
+        hit, away = compared(root, rest)
+        yield from ((k, root) for k in rest[hit].tolist())
+        reached = list(zip(rest[hit].tolist(), away[hit].tolist(), strict=True))
+        rest, away = rest[~hit], away[~hit]
+        while reached and len(rest):
+            one, d = reached.pop()
+            near = np.flatnonzero((np.abs(away - d) <= 1 - similarity + 1e-6) & (np.minimum(sizes[rest], sizes[one]) >= similarity * np.maximum(sizes[rest], sizes[one]) - 1e-6))
+            if len(near):
+                hits = near[compared(one, rest[near])[0]]
+                yield from ((k, one) for k in rest[hits].tolist())
+                reached.extend(zip(rest[hits].tolist(), away[hits].tolist(), strict=True))
+                rest, away = np.delete(rest, hits), np.delete(away, hits)
+
+
+def alike_links(groups: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """(u, v), u > v: links that join all nodes that are reachable over pairs of a group that are alike."""
+    blocks = F.ceil(F.greatest(F.col("rows") / GROUP_ROWS, F.col("shingles") / GROUP_SHINGLES)).cast("int")
+    heavy = (
+        groups.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).withColumn("blocks", blocks).where("blocks > 1")
+        .orderBy(F.desc("blocks"), "hub").limit(HEAVY_KEYS).select(F.col("hub").alias("_hub"), "blocks")
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
+    placed = (
+        groups.join(F.broadcast(heavy), F.col("hub") == F.col("_hub"), "left")
+        .withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs))).select("hub", "part", "node")
+    )
+    dealt = placed.join(docs.select("node", text), "node").select("hub", "part", "node", text).repartition("hub", "part").sortWithinPartitions("hub", "part", "node")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined, at = Forest(), None
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+        u: list[int] = []
+        v: list[int] = []
+
+        def compare() -> None:
+            for a, b in alike(sets, similarity) if len(sets) > 1 else ():
+                x, y = nodes[a], nodes[b]
+                if joined.join(x, y):
+                    u.append(max(x, y))
+                    v.append(min(x, y))
+            nodes.clear(), sets.clear()
+
+        for b in batches:
+            for hub, part, node, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (hub, part) != at:
+                    compare()
+                    at = hub, part
+                nodes.append(node)
+                sets.append(sorted_shingles(t or "", words))
+            if len(u) >= BATCH:
+                yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                u.clear(), v.clear()
+        compare()
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    held = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text)
-    each = held.mapInArrow(made, "id bigint, content bigint, fps array<bigint>")
-    nodes = cut(each.groupBy("content", "fps").agg(F.min("id").alias("node")).select("node", "fps"))
-    edges = cut(proposed(nodes, tables))
+    return dealt.mapInArrow(linked, "u bigint, v bigint")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component_id): the least key of each group of texts with equal words, and the least key of its near copies.
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Near copies have a Jaccard similarity of their sets of shingles of `words` words of at least `similarity`, and
+    all pairs of them count: texts that share a shingle of their prefixes meet, and the sets decide.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t or "", words) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    asked = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = cut(held.join(asked, "id", "left_semi").mapInArrow(opened, "id bigint, shingles array<bigint>").dropDuplicates(["id"]))
-    one = salted_join(edges, sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    both = one.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
-    shared = F.size(F.array_intersect("a", "b"))
-    alike = both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
-    roots = components(alike)
+            content = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "replace").lower().split())) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], names=["id", "content"])
+
+    held = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("_text"))
+    nodes = cut(held.mapInArrow(made, "id bigint, content binary").groupBy("content").agg(F.min("id").alias("node")).select("node").distinct())
+    path = scratch_path(docs.sparkSession, "texts")
+    held.join(nodes, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
+    texts = docs.sparkSession.read.parquet(path)
+    common = common_shingles(texts, nodes.count(), "_text", words)
+    groups = cut(met_by_prefix(texts, common, "_text", words, similarity))
+    roots = components(alike_links(groups, texts, "_text", words, similarity))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component_id"))
 
 

@@ -387,6 +387,36 @@ def test_near_copies(spark):
     assert simhash.one_of_each_group(table(spark, [])).count() == 0
 
 
+def groups_of(docs):
+    """The components that near_copies finds, as sets of ids."""
+    found = collections.defaultdict(set)
+    for r in simhash.near_copies(docs).collect():
+        found[r["component_id"]].add(r["node"])
+    return sorted(map(sorted, found.values()))
+
+
+def brute_groups(texts):
+    sets = [set(simhash.shingle_set(t or "", 5)) for t in texts]
+    roots = brute_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = collections.defaultdict(list)
+    for k, root in roots.items():
+        found[root].append(k)
+    return sorted(found.values())
+
+
+def test_near_copies_with_contiguous_edits(spark):
+    rng = random.Random(31)
+    texts, footer = [], " ".join(f"foot{k}" for k in range(30))
+    for n in (60, 150, 400, 900):
+        for _ in range(6):
+            base = [f"w{rng.randrange(50_000)}" for _ in range(n)]
+            k, at = n // 6, rng.randrange(n)
+            added = [f"x{rng.random()}" for _ in range(k)]
+            texts += [" ".join(w) for w in (base, base + added, base[: n - k], base[:at] + added + base[at:])]
+            texts.append(" ".join(base) + " " + footer)
+    assert groups_of(table(spark, texts)) == brute_groups(texts)
+
+
 # mixing
 
 
