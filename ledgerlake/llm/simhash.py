@@ -33,8 +33,8 @@ from .common import HEAVY_KEYS, cut, plus, read, salted_join, scratch_path
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints of a key that are compared in one block, and columns of a batch of keys.
 BLOCK, BATCH = 4096, 50_000
-#: Near copies share so many of their shingles of so many words; fingerprints by which they are proposed, and nearest neighbours that each proposes.
-WORDS, SIMILARITY, TABLES, NEAREST = 5, 0.8, 6, 2
+#: Near copies share so many of their shingles of so many words.
+WORDS, SIMILARITY = 5, 0.8
 #: Texts of the sample in which shingles count as common, beyond so many of its texts, and the most that are listed.
 SAMPLE, COMMON, MOST_COMMON = 50_000, 4, 100_000
 #: Rows and shingles of a group of texts that are compared in one block.
@@ -258,24 +258,6 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 
 # Near copies by shingle similarity: all pairs of texts that may be alike meet by their rarest shingles, and the sets decide.
 
-def word_fingerprints(text: str, tables: int) -> tuple[int, list[int]]:
-    """(hash of the lower-cased words, a fingerprint of the set of words for each table), unsigned."""
-    found = text.encode("utf-8", "replace").lower().split()
-    content = xxhash.xxh3_64_intdigest(b" ".join(found))
-    own = set(found)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), np.uint64, len(own))
-    out = []
-    for t in range(tables):
-        # another hash for each table: the bits of a word's first one, stirred with an odd number of the table's own
-        z = (h + np.uint64(t)) * np.uint64((0x9E3779B97F4A7C15 * (2 * t + 1)) & (2**64 - 1))
-        z ^= z >> np.uint64(31)
-        z *= np.uint64(0xBF58476D1CE4E5B9)
-        z ^= z >> np.uint64(29)
-        counts = np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) if len(z) else np.zeros(64, np.int64)
-        out.append(int.from_bytes(np.packbits(2 * counts > len(z), bitorder="little").tobytes(), "little"))
-    return content, out
-
-
 def shingle_set(text: str, words: int) -> list[int]:
     found = text.encode("utf-8", "replace").lower().split()
     n = len(found) - words + 1
@@ -283,77 +265,6 @@ def shingle_set(text: str, words: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in {xxhash.xxh64_intdigest(g, SEED) for g in grams}]
 
 
-def propose(fps: np.ndarray, nodes: np.ndarray, distance: int, first: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of a key's rows (fingerprints ascend, nodes ascend within) to be looked at: a number in proportion to the rows.
-
-    Nodes of one fingerprint are paired with the least of them (only where `first`, as they meet under many keys).
-    Fingerprints within the distance are paired by their least nodes: each with its NEAREST nearest neighbours and
-    the least one.
-    """
-    starts = np.flatnonzero(np.append(True, fps[1:] != fps[:-1]))
-    distinct, least = fps[starts], nodes[starts]
-    if first and len(starts) < len(fps):
-        of = least[np.searchsorted(starts, np.arange(len(fps)), "right") - 1]
-        rest = of != nodes
-        yield from zip(nodes[rest].tolist(), of[rest].tolist(), strict=True)
-    for k in range(len(distinct) if len(distinct) > 1 else 0):
-        d = np.bitwise_count(distinct ^ distinct[k])
-        hit = np.flatnonzero(d <= distance)
-        if len(hit) > NEAREST + 2:
-            hit = np.append(hit[np.argsort(d[hit], kind="stable")[: NEAREST + 1]], hit[np.argmin(least[hit])])
-        for j in hit.tolist():
-            if j != k:
-                yield int(least[k]), int(least[j])
-
-
-def proposed(nodes: DataFrame, tables: int, distance: int = DISTANCE) -> DataFrame:
-    """(u, v), u > v: pairs of nodes (node, fps) of which some fingerprint differs in at most `distance` bits."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            fps = np.array(b.column(1).to_pylist(), np.int64).reshape(-1, tables)
-            for t in range(tables):
-                for at in range(0, len(ids), 2000):
-                    part = np.ascontiguousarray(fps[at : at + 2000, t])
-                    row, key = keys_of(part.view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(t << 44 | key), pa.array(part[row]), pa.array(ids[at : at + 2000][row])], names=["key", "fp", "node"])
-
-    dealt = nodes.select("node", "fps").mapInArrow(made, "key bigint, fp bigint, node bigint").repartition("key").sortWithinPartitions("key", "fp", "node")
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-        pairs: set[tuple[int, int]] = set()
-
-        def look(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> None:
-            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            ends = np.append(edges[1:], len(key))
-            many = ends - edges > 1
-            for a, z in zip(edges[many].tolist(), ends[many].tolist(), strict=True):
-                pairs.update((max(x), min(x)) for x in propose(fp[a:z].view(np.uint64), node[a:z], distance, int(key[a]) >> 40 & 15 == 0))
-
-        def out() -> pa.RecordBatch:
-            u, v = (list(x) for x in zip(*pairs, strict=True)) if pairs else ([], [])
-            pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = [np.concatenate((h, c.to_numpy(zero_copy_only=False).astype(np.int64))) for h, c in zip(held, b.columns, strict=True)]
-            whole = int(np.searchsorted(rows[0], rows[0][-1]))
-            if whole:
-                look(*(r[:whole] for r in rows))
-            held = [r[whole:] for r in rows]
-            if len(pairs) >= BATCH:
-                yield out()
-        if len(held[0]):
-            look(*held)
-        yield out()
-
-    return dealt.mapInArrow(met, "u bigint, v bigint").distinct()
-
-
 def sorted_shingles(text: str, words: int) -> np.ndarray:
     return np.sort(np.array(shingle_set(text, words), np.int64))
 

@@ -417,6 +417,39 @@ def test_near_copies_with_contiguous_edits(spark):
     assert groups_of(table(spark, texts)) == brute_groups(texts)
 
 
+def test_near_copies_with_words_in_another_order(spark, monkeypatch):
+    rng = random.Random(32)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(12):
+        w = rng.sample(base, len(base))
+        texts.append(" ".join(w))
+        for at in rng.sample(range(len(w) - 1), 2):
+            texts.append(" ".join([*w[:at], w[at + 1], w[at], *w[at + 2 :]]))
+    rng.shuffle(texts)
+    for rows in (2048, 4):
+        monkeypatch.setattr(simhash, "GROUP_ROWS", rows, raising=False)
+        assert groups_of(table(spark, texts)) == brute_groups(texts)
+
+
+def test_alike_in_dense_groups():
+    rng = random.Random(33)
+    sets = []
+    for centre in range(3):
+        own = [list(range(centre * 40, centre * 40 + 100))]
+        for _ in range(60):
+            w = rng.choice(own)[:]
+            for _ in range(rng.randint(0, 14)):
+                w[rng.randrange(len(w))] = rng.randrange(1000, 9000)
+            own.append(w)
+        sets += [set(w) for w in own]
+    got = simhash.Forest()
+    for a, b in simhash.alike([np.array(sorted(x)) for x in sets], 0.8):
+        got.join(a, b)
+    want = brute_components(range(len(sets)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert {k: got.root(k) for k in range(len(sets))} == want and 3 < len(set(want.values())) < len(sets)
+
+
 # mixing
 
 
