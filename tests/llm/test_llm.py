@@ -87,6 +87,13 @@ SECRET_TEXTS = [
 ]
 
 
+def test_pii_accounts_before_other_words(spark):
+    numbers = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "BE68539007547034", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    texts = [f"IBAN {x}{after}" for x in numbers for after in ("", " BIC GKCCBEBB", " EUR 50", " 12")]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["iban"]] for r in pii.find_personal_data(table(spark, texts)).collect()}
+    assert got == {k: [(5, 5 + len(numbers[k // 4]))] for k in range(len(texts))}
+
+
 def base_secrets(text):
     t = text or ""
     out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
