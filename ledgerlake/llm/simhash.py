@@ -8,17 +8,18 @@ one of the second, which takes as keys all code words within one bit more than t
 found are joined to components.
 
 Equal fingerprints are one node, so copies are never paired. A key that very many fingerprints share is dealt
-in pairs of blocks. Within a key, each fingerprint that is reached is compared once with those that are not
-yet, and only a spanning forest of the links is kept.
+in blocks (groups.linked). Within a block, each fingerprint that is reached is compared once with those that are
+not yet, and only a spanning forest of the links is kept; which of a cycle's links it has changes no component.
 
 A null text counts as empty; texts without words have the fingerprint 0, those with fewer words than a shingle
-are one shingle. Rows that repeat an id are nodes by their fingerprints. A null id is never a component's name
-unless all its ids are null. An empty table gives an empty result.
+are one shingle. A very long text is hashed whole, its shingles one after another. Rows that repeat an id are nodes
+by their fingerprints. A null id is never a component's name unless all its ids are null. Columns of the input named
+fp (in fingerprints) or component_id (in near_duplicates) are replaced, others are kept. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,27 +29,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY_KEYS, cut, plus, read, salted_join, scratch_path
+from .common import cut, plus, read, salted_join
+from .groups import Forest, components, linked
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints of a key that are compared in one block, and columns of a batch of keys.
 BLOCK, BATCH = 4096, 50_000
-#: Near copies share so many of their shingles of so many words.
-WORDS, SIMILARITY = 5, 0.8
-#: Texts of the sample in which shingles count as common, beyond so many of its texts, and the most that are listed.
-SAMPLE, COMMON, MOST_COMMON = 50_000, 4, 100_000
-#: Rows and shingles of a group of texts that are compared in one block.
-GROUP_ROWS, GROUP_SHINGLES = 2048, 2_000_000
-
-
-def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint, unsigned: bit set if it is in over half of the shingles' XXH64."""
-    words = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    n = len(words) - shingle + 1
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if n > 0 else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), "<u8", max(1, n))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes ("<u8"), unsigned: a bit is set if it is in over half of them."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096]
@@ -56,6 +46,24 @@ def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, or of all words if there are fewer."""
+    n = len(words) - shingle + 1
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if n > 0 else [b" ".join(words)]
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), "<u8", max(1, n))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words; of bytes, so A-Z and ASCII white space only."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a text, unsigned."""
+    words = words_of(text)
+    return bits_of(shingle_hashes(words, shingle, seed)) if words else 0
+
+
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, into: str = "fp") -> DataFrame:
     """docs with the fingerprint, as a signed bigint, in place of the text."""
     keys = [c for c in docs.columns if c not in (text, into)]
@@ -63,7 +71,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, se
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([simhash(t or "", shingle, seed) for t in b.column(len(keys)).to_pylist()], "<u8").view("<i8")
+            found = np.array([simhash(t, shingle, seed) for t in b.column(len(keys)).to_pylist()], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(found)], names=[*keys, into])
 
     return held.mapInArrow(made, plus(docs.select(*keys).schema, **{into: "bigint"}))
@@ -138,43 +146,13 @@ def forest(fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, int]]:
                 rest = rest[~hit]
 
 
-class Forest:
-    """Union-find: which links of a task join what was not joined yet."""
-
-    def __init__(self):
-        self.above: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        above = self.above
-        while (up := above.get(x, x)) != x:
-            above[x] = x = above.get(up, up)
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.above[max(a, b)] = min(a, b)
-        return a != b
-
-
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(u, v), u > v: links of distinct fingerprints that join all that are reachable over links of at most `distance` bits."""
     if distance > 3:
         raise ValueError("four segments find all pairs up to three bits apart")
-    rows = keyed(nodes)
-    heavy = (
-        rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-        .orderBy(F.desc("n"), "key").limit(HEAVY_KEYS).select(F.col("key").alias("_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
-    dealt = (
-        rows.join(F.broadcast(heavy), F.col("key") == F.col("_key"), "left")
-        .withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
-        .select("key", "part", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
-    )
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = cut(keyed(nodes)).select(F.col("key").alias("g"), F.col("fp").alias("node"), F.lit(1).alias("n"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, held = Forest(), np.zeros((0, 3), "<i8")
         u: list[int] = []
         v: list[int] = []
@@ -207,37 +185,15 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
             compare(held)
         yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return dealt.mapInArrow(linked, "u bigint, v bigint")
+    def compared(parts: DataFrame) -> DataFrame:
+        return parts.select("g", "part", "node").repartition("g", "part").sortWithinPartitions("g", "part", "node").mapInArrow(found, "u bigint, v bigint")
 
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of (u, v): the root is the least node reachable.
-
-    Each node hooks to its least neighbour, hooks are followed to their ends by doubling, and edges between
-    what remains go to the next round; at least half of the nodes that have edges go each time.
-    """
-    edges = cut(edges.where("u <> v").distinct())
-    labels = None
-    while not edges.isEmpty():
-        hooks = cut(
-            edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            .groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near")).select("node", F.least("node", "near").alias("root"))
-        )
-        while True:
-            further = cut(salted_join(hooks, hooks.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-            hooks = further.select("node", "root")
-            if further.where("moved").isEmpty():
-                break
-        to = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        labels = hooks if labels is None else cut(salted_join(labels, to, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-        first = salted_join(edges.select(F.col("u").alias("root"), "v"), to, "root").select(F.col("next").alias("u"), "v")
-        both = salted_join(first.select("u", F.col("v").alias("root")), to, "root").select("u", F.col("next").alias("v"))
-        edges = cut(both.where("u <> v").distinct())
-    return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return linked(rows, compared, BLOCK)
 
 
 def near_duplicates(fps: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """fps (key, fp, ...) with component_id, the least key reachable over links of at most `distance` bits. fps is read several times."""
+    fps = fps.drop("component_id")
     nodes = cut(fps.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(nodes, distance))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -254,214 +210,3 @@ def written(fp: Column) -> Column:
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     fps = cut(fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return near_duplicates(fps).select("doc_id", written(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-# Near copies by shingle similarity: all pairs of texts that may be alike meet by their rarest shingles, and the sets decide.
-
-def shingle_set(text: str, words: int) -> list[int]:
-    found = text.encode("utf-8", "replace").lower().split()
-    n = len(found) - words + 1
-    grams = map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False)) if n > 0 else [b" ".join(found)]
-    return [x - (1 << 64) if x >> 63 else x for x in {xxhash.xxh64_intdigest(g, SEED) for g in grams}]
-
-
-def sorted_shingles(text: str, words: int) -> np.ndarray:
-    return np.sort(np.array(shingle_set(text, words), np.int64))
-
-
-def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first shingles of a set in one order for all texts: by hash, then the common ones (ascending hashes) by their ranks.
-
-    Two sets whose Jaccard similarity is at least `similarity` have one of these in common, whatever the order.
-    """
-    hashes, ranks = common
-    rank = np.zeros(len(shingles), np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
-        rank = np.where(hashes[at] == shingles, ranks[at], 0)
-    return shingles[np.lexsort((shingles, rank))][: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
-
-
-def common_shingles(docs: DataFrame, n: int, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ascending hashes, ranks) of shingles of several texts of a sample, the most common ranked last. They only change the order in prefix(), not what it finds."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                sets = [sorted_shingles(t or "", words) for t in b.column(0)[at : at + 200].to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["shingle"])
-
-    share = max(1, n // SAMPLE)
-    counted = docs.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select(text).mapInArrow(made, "shingle bigint").groupBy("shingle").count()
-    found = np.array([r["shingle"] for r in counted.where(F.col("count") > COMMON).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()], np.int64)
-    by_hash = np.argsort(found)
-    return found[by_hash], len(found) - by_hash
-
-
-def met_by_prefix(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], text: str, words: int, similarity: float) -> DataFrame:
-    """(hub, node, n): groups of nodes, named by their least, such that each pair that is alike is together in one at least.
-
-    Nodes that share a shingle of their prefixes are together, but for those whose sizes n are too far apart.
-    Groups with an equal hub are one, so the many shingles that near copies share make few groups.
-    """
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                sets = [sorted_shingles(t or "", words) for t in b.column(1)[at : at + 200].to_pylist()]
-                first = [prefix(s, common, similarity) for s in sets]
-                many = [len(f) for f in first]
-                node = b.column(0)[at : at + 200].to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(first)), pa.array(np.repeat([len(s) for s in sets], many)), pa.array(np.repeat(node, many))], names=["shingle", "n", "node"]
-                )
-
-    dealt = docs.select("node", text).mapInArrow(made, "shingle bigint, n bigint, node bigint").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        found: set[tuple[int, int, int]] = set()
-
-        def group(shingle: np.ndarray, n: np.ndarray, node: np.ndarray) -> None:
-            # a run: one shingle, and no step in size over which nothing is alike
-            starts = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (n[:-1] < similarity * n[1:] - 1e-6)))
-            ends = np.append(starts[1:], len(shingle))
-            many = ends - starts > 1
-            for a, z in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                hub = int(node[a:z].min())
-                found.update((hub, x, k) for x, k in zip(node[a:z].tolist(), n[a:z].tolist(), strict=True))
-
-        def out() -> pa.RecordBatch:
-            columns = np.array(list(found), np.int64).reshape(-1, 3).T
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["hub", "node", "n"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = [np.concatenate((h, c.to_numpy(zero_copy_only=False).astype(np.int64))) for h, c in zip(held, b.columns, strict=True)]
-            whole = int(np.searchsorted(rows[0], rows[0][-1]))
-            if whole:
-                group(*(r[:whole] for r in rows))
-            held = [r[whole:] for r in rows]
-            if len(found) >= BATCH:
-                yield out()
-        if len(held[0]):
-            group(*held)
-        yield out()
-
-    return dealt.mapInArrow(grouped, "hub bigint, node bigint, n bigint").distinct()
-
-
-def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest of sets, each without repeats, whose Jaccard similarity is at least `similarity`.
-
-    Each set that is reached is compared with those that are not yet, as in forest(). One less the similarity is
-    a metric; so two sets are not compared if their distances from the tree's root differ by more than the limit.
-    """
-    sizes = np.array([len(s) for s in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
-    own = np.split(ids, np.cumsum(sizes)[:-1])
-    marked = np.zeros(len(ids), bool)
-
-    def compared(one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether alike, distance) of each of the others."""
-        marked[own[one]] = True
-        shared = np.add.reduceat(marked[np.concatenate([own[k] for k in others.tolist()])], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
-        marked[own[one]] = False
-        union = sizes[one] + sizes[others] - shared
-        return shared >= similarity * union, 1 - shared / union
-
-    rest = np.arange(len(sets))
-    while len(rest) > 1:
-        root, rest = int(rest[0]), rest[1:]
-        hit, away = compared(root, rest)
-        yield from ((k, root) for k in rest[hit].tolist())
-        reached = list(zip(rest[hit].tolist(), away[hit].tolist(), strict=True))
-        rest, away = rest[~hit], away[~hit]
-        while reached and len(rest):
-            one, d = reached.pop()
-            near = np.flatnonzero((np.abs(away - d) <= 1 - similarity + 1e-6) & (np.minimum(sizes[rest], sizes[one]) >= similarity * np.maximum(sizes[rest], sizes[one]) - 1e-6))
-            if len(near):
-                hits = near[compared(one, rest[near])[0]]
-                yield from ((k, one) for k in rest[hits].tolist())
-                reached.extend(zip(rest[hits].tolist(), away[hits].tolist(), strict=True))
-                rest, away = np.delete(rest, hits), np.delete(away, hits)
-
-
-def alike_links(groups: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """(u, v), u > v: links that join all nodes that are reachable over pairs of a group that are alike."""
-    blocks = F.ceil(F.greatest(F.col("rows") / GROUP_ROWS, F.col("shingles") / GROUP_SHINGLES)).cast("int")
-    heavy = (
-        groups.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).withColumn("blocks", blocks).where("blocks > 1")
-        .orderBy(F.desc("blocks"), "hub").limit(HEAVY_KEYS).select(F.col("hub").alias("_hub"), "blocks")
-    )
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
-    placed = (
-        groups.join(F.broadcast(heavy), F.col("hub") == F.col("_hub"), "left")
-        .withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs))).select("hub", "part", "node")
-    )
-    dealt = placed.join(docs.select("node", text), "node").select("hub", "part", "node", text).repartition("hub", "part").sortWithinPartitions("hub", "part", "node")
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, at = Forest(), None
-        nodes: list[int] = []
-        sets: list[np.ndarray] = []
-        u: list[int] = []
-        v: list[int] = []
-
-        def compare() -> None:
-            for a, b in alike(sets, similarity) if len(sets) > 1 else ():
-                x, y = nodes[a], nodes[b]
-                if joined.join(x, y):
-                    u.append(max(x, y))
-                    v.append(min(x, y))
-            nodes.clear(), sets.clear()
-
-        for b in batches:
-            for hub, part, node, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (hub, part) != at:
-                    compare()
-                    at = hub, part
-                nodes.append(node)
-                sets.append(sorted_shingles(t or "", words))
-            if len(u) >= BATCH:
-                yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-                u.clear(), v.clear()
-        compare()
-        yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return dealt.mapInArrow(linked, "u bigint, v bigint")
-
-
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component_id): the least key of each group of texts with equal words, and the least key of its near copies.
-
-    Near copies have a Jaccard similarity of their sets of shingles of `words` words of at least `similarity`, and
-    all pairs of them count: texts that share a shingle of their prefixes meet, and the sets decide.
-    """
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            content = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "replace").lower().split())) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], names=["id", "content"])
-
-    held = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("_text"))
-    nodes = cut(held.mapInArrow(made, "id bigint, content binary").groupBy("content").agg(F.min("id").alias("node")).select("node").distinct())
-    path = scratch_path(docs.sparkSession, "texts")
-    held.join(nodes, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
-    texts = docs.sparkSession.read.parquet(path)
-    common = common_shingles(texts, nodes.count(), "_text", words)
-    groups = cut(met_by_prefix(texts, common, "_text", words, similarity))
-    roots = components(alike_links(groups, texts, "_text", words, similarity))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component_id"))
-
-
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without those of which a near copy has a smaller key; rows that repeat a key stay once, those with a null key all."""
-    kept = near_copies(docs, key, text, words, similarity).where("node = component_id").select(F.col("node").alias("_kept"))
-    out = docs.join(kept, F.col(key).cast("bigint") == F.col("_kept"), "left_semi")
-    if not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([key])
-    return out.unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
