@@ -2,15 +2,16 @@
 
 Every document is an item with the vector (tokens, 1 segment, loss-bearing tokens). A sequence is a bin. Among
 a pool of pending items the one that fits with the largest dot product of its vector and the bin's free space,
-both in units of the limits, is placed next. If no item fits, the one with the largest dot product is cut: its
-head fills the bin and its tail goes back to the pool, so that a bin closes short of its tokens only if
-segments or loss-bearing tokens are used up. What is left at the end of a partition is laid out in sequences
-whose lengths are powers of two, which need no padding. A partition is packed by itself, in one pass, holding
-the pool and one batch.
+both in units of the limits, is placed next. If no item fits, one is cut: of all heads that the bin has room for the
+one with the largest dot product is placed, and the tail stays in the pool. So a bin closes short of its tokens
+only if segments are used up, or loss-bearing tokens are and no item begins with others. A bin that is short, as
+at a partition's end, is laid out in sequences whose lengths are powers of two, which need no padding. A partition
+is packed by itself, in one pass, holding the pool and one batch.
 
 A document's ids are those of its whole text followed by the closing id; null and empty texts have the closing
-id alone. Rows that repeat an id are separate documents. Ties go to the item that came first. An empty table
-gives no pieces. Of further columns only those named in `keys` are kept.
+id alone. Rows that repeat an id are separate documents, null ids too. Ties go to the item that stands first in the
+pool. An empty table gives no pieces. Of further columns only those named in `keys` are kept, with their names; keys
+named like a result are refused. A very long text is held once as ids, four bytes each, and cut like any other.
 """
 
 from __future__ import annotations
@@ -27,22 +28,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import plus, read
+from .common import plus, read, spare
 
-TOKENS, SEGMENTS, CLOSING_ID, POOL = 4096, 1024, 2, 512
-#: Words whose ids are remembered by a Python worker, for each of two tables.
-REMEMBERED = 500_000
+TOKENS, CLOSING_ID, POOL = 4096, 2, 512
+#: Tokens, segments and loss-bearing tokens of a sequence.
+LIMITS = (TOKENS, 64, 3584)
+#: The characters at a document's start for one of its first ids that bear no loss, so that about the first quarter counts as its prompt.
+PROMPT = 16
+#: Bytes of words and ids that a Python worker remembers in each of two tables, and of the longest word.
+REMEMBERED, LONGEST = 48 << 20, 100
+RESULTS = ("start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset")
 
 
 class Words(dict):
-    """Values by word; one that is missing is made and kept."""
+    """Values by key; one that is missing is made, and kept if its key is short. When half of REMEMBERED is full, what it
+    has becomes the old half, from which keys that are asked for again come back; the old half before is dropped."""
 
-    def __init__(self, made: Callable[[bytes], bytes]):
+    def __init__(self, made: Callable):
         super().__init__()
-        self.made = made
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = found = self.made(word)
+        self.made, self.bytes, self.old = made, 0, {}
+
+    def __missing__(self, key) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.made(key)
+        if len(key) <= LONGEST:
+            self.bytes += len(key) + len(found) + 160  # with what Python needs for both and their place
+            if self.bytes > REMEMBERED // 2:
+                self.old, self.bytes = dict(self), 0
+                self.clear()
+            self[key] = found
         return found
 
 
@@ -50,7 +65,7 @@ class WordIds:
     """The ids of whole texts, as bytes of little-endian uint32, by way of a table of words.
 
     The tokenizer drops white space after its normaliser, and neither its normaliser nor its splitter looks
-    past white space; so a text's ids are those of its words in turn. A run of Latin-1 letters is split from
+    past white space, nor does an added token hold any; so a text's ids are those of its words in turn. A run of Latin-1 letters is split from
     the ASCII marks that follow it and lower-cased, so such a word's ids are those of the run and of the marks.
     """
 
@@ -60,10 +75,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.words = Words(self.whole)
-        self.parts: dict[str, bytes] = {"": b""}
+        self.words, self.parts = Words(self.whole), Words(self.part)
         # the signs by which a byte-level model writes bytes: printable Latin-1 as it is, the others from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
@@ -71,24 +84,18 @@ class WordIds:
 
     def part(self, text: str) -> bytes:
         """Ids of a run of lower-case letters or of marks, straight from the model."""
-        if text not in self.parts:
-            found = self.model.tokenize(text.encode().decode("latin-1").translate(self.signs))
-            self.parts[text] = np.array([x.id for x in found], "<u4").tobytes()
-        return self.parts[text]
+        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.signs)) if text else []
+        return np.array([x.id for x in found], "<u4").tobytes()
 
     def whole(self, w: bytes) -> bytes:
-        """Ids of a word."""
+        """Ids of a word. One with an added token such as <|endoftext|> is never letters and then marks, so the tokenizer sees it."""
         word = w.decode("utf-8", "replace")
         if m := self.LETTERS_THEN_MARKS.fullmatch(word):
-            return self.part(m[1].lower()) + self.part(m[2])
+            return self.parts[m[1].lower()] + self.parts[m[2]]
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            if len(self.parts) > REMEMBERED:
-                self.parts = {"": b""}
             yield b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
 
 
@@ -139,17 +146,17 @@ class Packer:
         free, pieces = self.limits.copy(), []
         while self.items and free[0] > 0 and free[1] > 0:
             have = self.vectors[: len(self.items)]
-            scores = have @ (free / self.limits**2)
+            worth = free / self.limits**2
             fits = (have <= free).all(1)
             if fits.any():
-                k = int(np.argmax(np.where(fits, scores, -1)))
+                k = int(np.argmax(np.where(fits, have @ worth, -1)))
                 took = int(have[k, 0])
-            else:
-                k = int(np.argmax(scores))
-                item = self.items[k]
-                took = int(min(free[0], have[k, 0]))
-                if item.start + took > item.loss:  # the head must not bear more loss than is free
-                    took = int(min(took, max(item.loss - item.start, 0) + free[2]))
+            else:  # heads that bear no more loss than is free
+                others = have[:, 0] - have[:, 2]
+                heads = np.minimum(np.minimum(have[:, 0], free[0]), others + free[2])
+                scores = heads * worth[0] + worth[1] + np.maximum(heads - others, 0) * worth[2]
+                k = int(np.argmax(np.where(heads > 0, scores, -1)))
+                took = int(heads[k])
                 if took <= 0:
                     break
             item = self.items[k]
@@ -182,13 +189,15 @@ def by_powers_of_two(pieces: list[tuple[Item, int, int]]) -> Iterator[list[tuple
 
 def pack(
     docs: DataFrame, tokenizer: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", loss_from: str | None = None,
-    limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS), closing_id: int = CLOSING_ID, pool: int = POOL,
+    limits: tuple[int, int, int] = LIMITS, closing_id: int = CLOSING_ID, pool: int = POOL,
 ) -> DataFrame:
     """A row for each piece: keys, start, length, ids (little-endian uint32), doc_tokens, loss_tokens, sequence_id, offset.
 
     tokenizer: path of its file, as the driver and all executors see it. loss_from: a column with the first
     id that bears loss (null or no column: the first).
     """
+    if clash := {k.lower() for k in keys} & set(RESULTS):
+        raise ValueError(f"keys named like results: {sorted(clash)}")
     held = docs.select(*keys, text, *([loss_from] if loss_from else []))
     schema = plus(StructType(held.schema.fields[: len(keys)]), start="bigint", length="bigint", ids="binary", doc_tokens="bigint", loss_tokens="bigint", sequence_id="bigint", offset="bigint")
     types = [*held.schema.names[: len(keys)]]
@@ -198,19 +207,20 @@ def pack(
         ids_of, packer = word_ids(tokenizer), Packer(limits, pool)
         sequence, out, key_types = TaskContext.get().partitionId() << 32, [], None
 
-        def put(pieces):
+        def put(whole):
             nonlocal sequence
-            offset = 0
-            for item, start, length in pieces:
-                out.append((*item.key, start, length, item.ids[4 * start : 4 * (start + length)], item.n, max(0, start + length - max(start, item.loss)), sequence, offset))
-                offset += length
-            sequence += 1
+            for pieces in [whole] if sum(p[2] for p in whole) == limits[0] else by_powers_of_two(whole):
+                offset = 0
+                for item, start, length in pieces:
+                    out.append((*item.key, start, length, item.ids[4 * start : 4 * (start + length)], item.n, max(0, start + length - max(start, item.loss)), sequence, offset))
+                    offset += length
+                sequence += 1
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
             arrays = [pa.array(c, t) for c, t in zip(columns, [*key_types, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4], strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=[*types, "start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays(arrays, names=[*types, *RESULTS])
 
         for b in batches:
             key_types = [b.schema.field(i).type for i in range(len(keys))]
@@ -226,17 +236,21 @@ def pack(
                 if len(out) >= 2000:
                     yield batch()
         while packer.items:
-            pieces = packer.next_bin()
-            for sequence_pieces in by_powers_of_two(pieces) if not packer.items else [pieces]:
-                put(sequence_pieces)
+            put(packer.next_bin())
         if out:
             yield batch()
 
     return held.mapInArrow(packed, schema)
 
 
+def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """pack() with limits that bind: a document's first ids, one for PROMPT of its characters, bear no loss."""
+    held = docs.select(F.col(key), F.col(text), F.floor(F.char_length(text) / PROMPT).alias(spare("first", [key, text])))
+    return pack(held, tokenizer, (key,), text, held.columns[2])
+
+
 def op3_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
