@@ -4,8 +4,10 @@ DataFrame functions only. Kinds email, ip, card and phone are the base and are a
 (mod 97), short_card (13 to 15 digits, Luhn) and local_phone (no country code) are reported when their score
 is at least THRESHOLD, which takes a checksum, words such as "card" or "phone" before them, or both.
 
-A null text counts as empty and has no spans. Rows that repeat an id are scanned each by itself; an empty
-table gives an empty result. Columns of the input named like the results are replaced.
+A null text counts as empty and has no spans. Rows are scanned each by itself, also if they repeat an id; an empty
+table gives an empty result. find_personal_data replaces columns of the input that are named like its kinds; redact
+keeps all columns as they are but for the text and its length. Very long texts are scanned whole, in time that grows
+with their length.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import read, spare, text_of
 from .spans import joined, masked, near, spans
 
 KINDS = ("email", "ip", "card", "phone", "iban", "short_card", "local_phone")
@@ -84,7 +86,7 @@ def mod97(hit: Column) -> Column:
 def personal_spans(text: Column) -> dict[str, Column]:
     """The spans of each kind, by start."""
     size = lambda low, high: lambda hit: F.char_length(digits(hit)).between(low, high)
-    raised = lambda words, plain, more: lambda hit, start: F.when(near(text, start, words), plain + more).otherwise(F.lit(plain))
+    raised = lambda words, plain, more: lambda before: F.when(near(before, words), plain + more).otherwise(F.lit(plain))
     any_digit = text.rlike("[0-9]")
     found = {
         "email": spans(text, "email", EMAIL, text.contains("@"), lambda hit: F.lit(True), raised(MAIL_WORDS, 0.9, 0.1)),
@@ -106,10 +108,11 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with <KIND> in place of personal data, in the columns they had; the column n_chars follows."""
-    found = find_personal_data(docs, text).withColumn("_all", F.concat(*KINDS))
-    clean = found.withColumn(text, F.when(F.col(text).isNull(), F.col(text)).otherwise(masked(text_of(text), F.col("_all"))))
+    found = spare("_all", docs.columns)
+    held = docs.withColumn(found, F.concat(*personal_spans(text_of(text)).values()))
+    clean = held.withColumn(text, F.when(F.col(text).isNull(), F.col(text)).otherwise(masked(text_of(text), F.col(found))))
     if n_chars in docs.columns:
-        clean = clean.withColumn(n_chars, F.when(F.size("_all") > 0, F.char_length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+        clean = clean.withColumn(n_chars, F.when(F.size(found) > 0, F.char_length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
     return clean.select(*docs.columns)
 
 
