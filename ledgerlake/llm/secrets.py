@@ -6,9 +6,10 @@ again, each new blob is scanned once however many paths hold it, and findings ar
 A change of the rules is a new rule version, under which every blob is unseen.
 
 DataFrame functions only. Kinds assign, access and hex are the base and are always reported; jwt, pem and
-vendor (prefixed tokens of hosting services) are added. A null text counts as empty. Rows that repeat an id and
-text share one blob; rows that repeat an id with different texts are different versions. An empty table gives
-an empty result.
+vendor (prefixed tokens of hosting services) are added. A null text counts as empty. Rows that repeat a path and
+text share one blob, which is scanned once; rows that repeat a path with different texts are versions of it. A null
+path is a path like any other. An empty table gives an empty result. Very long texts are scanned whole, in time that
+grows with their length. Of the input's columns only the path is kept; it may not be named blob or spans.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ SECRET_WORDS = r"(key|token|secret|passw|auth|credential)"
 
 def secret_spans(text: Column) -> Column:
     """All spans, by start, then by kind as listed."""
-    raised = lambda low, high: lambda hit, start: F.when(near(text, start, SECRET_WORDS), high).otherwise(F.lit(low))
+    raised = lambda low, high: lambda before: F.when(near(before, SECRET_WORDS), high).otherwise(F.lit(low))
     whole = lambda hit: F.lit(True)
     found = (
         spans(text, "assign", ASSIGN, text.rlike(KEY), lambda hit: F.char_length(F.regexp_extract(hit, f"^{ASSIGN}", 2)) >= 6, raised(0.8, 0.9)),
@@ -67,17 +68,24 @@ class BlobLedger:
         Texts cross the network once, and only those of unseen blobs are searched. If a blob was added twice
         by two runs at a time, its findings are equal and count once.
         """
+        if path.lower() in ("blob", "spans"):
+            raise ValueError(f"the path's column is named like a result: {path}")
         nothing = self.spark.range(0).selectExpr("cast(null as binary) blob", "cast(null as string) rule_version", f"cast(null as {SPAN}) spans")
         nothing.write.mode("append").parquet(self.path)
-        held = docs.select(F.col(path).alias("path"), text_of(text).alias("text"))
-        paths = cut(held.select("path", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob")))
+        held = docs.select(F.col(path).alias("path"), text_of(text).alias("text")).withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+        paths = cut(held.select("path", "blob"))
         known = self.findings().where(F.col("rule_version") == self.rule_version).select("blob")
-        unseen = (
-            paths.groupBy("blob").agg(F.min(F.struct("path")).alias("at")).join(known, "blob", "left_anti")
-            .select("blob", F.col("at.path").alias("at"))
-        )
-        texts = held.join(unseen, F.col("path").eqNullSafe(F.col("at")), "left_semi").select("text")
-        scanned = texts.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob"), F.lit(self.rule_version).alias("rule_version"), secret_spans(F.col("text")).alias("spans"))
+        # a blob is scanned in the row of its least path
+        rows = paths.groupBy("blob", "path").agg(F.count(F.lit(1)).alias("copies"))
+        order = F.struct(F.col("path").isNull().alias("none"), F.col("path").alias("path"), F.col("copies").alias("copies"))
+        unseen = rows.groupBy("blob").agg(F.min(order).alias("at")).join(known, "blob", "left_anti").select("blob", "at.path", (F.col("at.copies") > 1).alias("repeated"))
+        unseen = cut(unseen)
+        match = (F.col("h.blob") == F.col("n.blob")) & F.col("h.path").eqNullSafe(F.col("n.path"))
+        texts = held.alias("h").join(unseen.alias("n"), match).select("h.blob", "h.text", "n.repeated")
+        if not unseen.where("repeated").isEmpty():
+            once = texts.where("repeated").groupBy("blob").agg(F.min("text").alias("text"))
+            texts = texts.where("not repeated").select("blob", "text").unionByName(once)
+        scanned = texts.select("blob", F.lit(self.rule_version).alias("rule_version"), secret_spans(F.col("text")).alias("spans"))
         scanned.write.mode("append").parquet(self.path)
         found = self.findings().where(F.col("rule_version") == self.rule_version).groupBy("blob").agg(F.first("spans").alias("spans"))
         return salted_join(paths, found, "blob").select(F.col("path").alias(path), "blob", "spans")
