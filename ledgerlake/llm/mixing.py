@@ -7,8 +7,9 @@ again. Copies are then put in one global order by the hash of (id, seed, copy).
 
 Sources without a target, null ones included, form one group with the weight `other`. A group whose documents
 are all empty has the rate 1, and a target for an absent source has no effect. Rows that repeat an id get the
-same count each. A null size counts as the text's length, and a null id as "". An empty table gives an empty
-result. Columns of the input named copy or shuffle_key are replaced.
+same count each. A null size counts as the text's length, and a null id as "". An empty table gives an
+empty result. Columns of the input named copy or shuffle_key are replaced, all others are kept. A text is copied
+whole, however long it is.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, spare
 
 #: The mix that the query and the pipeline make: twenty sources alike, and all others together like one.
 WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
@@ -57,13 +58,14 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTH
     rates = target_rates(held, weights, other, source, length, total)
     name = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed)))
     uniform = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
+    u, n = (spare(x, [*held.columns, "copy", "shuffle_key"]) for x in ("_u", "_count"))
     count = F.lit(0)
     for group, rate in rates.items():
         low, steps = cdf(rate)
-        drawn = F.lit(low) + F.size(F.filter(F.array(*map(F.lit, steps)), lambda c: c <= F.col("_u")))
+        drawn = F.lit(low) + F.size(F.filter(F.array(*map(F.lit, steps)), lambda c: c <= F.col(u)))
         count = F.when(F.col(source) == group if group is not None else ~F.coalesce(F.col(source).isin(*weights), F.lit(False)), drawn).otherwise(count)
-    copies = F.when(F.col("_count") > 0, F.transform(F.sequence(F.lit(1), F.col("_count")), lambda k: (k - 1).cast("bigint"))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    repeated = held.withColumn("_u", uniform).withColumn("_count", count).withColumn("copy", F.explode(copies)).drop("_u", "_count")
+    copies = F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(1), F.col(n)), lambda k: (k - 1).cast("bigint"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    repeated = held.withColumn(u, uniform).withColumn(n, count).withColumn("copy", F.explode(copies)).drop(u, n)
     return repeated.withColumn("shuffle_key", F.md5(F.concat_ws(":", name, F.col("copy").cast("string")).cast("binary"))).orderBy("shuffle_key", "copy")
 
 
