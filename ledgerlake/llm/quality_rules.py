@@ -1,18 +1,21 @@
 """Quality rules: a cascade that stops at the first rule that rejects, ordered by rejections per cost.
 
 Each rule looks at one whole text and rejects it or not; a text is kept if no rule rejects it, so the order
-changes the cost and never the verdict. On a bounded sample every rule is timed alone and its share of
-rejections counted; rules then run in falling order of rejections per second. What rules share (words,
-lines, counts) is computed on first use and kept for the text.
+changes the cost and never the verdict. What rules share (words, lines, counts) is computed on first use and kept
+for the text; a rule costs what it needs and no earlier rule has made. A random sample of whole texts from all
+partitions tells which rules reject together and what each shared value costs: its rates by byte, word and line
+(COSTS) times the sample's bytes, words and lines. The cascade then takes, again and again, the rule with the most
+rejections of texts not yet rejected for its cost. Rates are constants, so a run over the same table has the same order.
 
 Null texts count as empty. Empty texts have no words, and are rejected by `few_words`. Repeated rows and
-equal ids are judged row by row. An empty table gives an empty result, in the order in which rules are given.
-Columns of the input named like the results are replaced.
+equal ids are judged row by row; of rules that are worth the same the one given first goes first. An empty table
+gives an empty result, and rules keep their order. Columns of the input named like the results are replaced, all
+others kept. A very long text is one row like any other, its words one list.
 """
 
 from __future__ import annotations
 
-import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -28,8 +31,14 @@ SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 WINDOW = 8
-#: Texts on which cost and selectivity are estimated, and their largest size.
-SAMPLE_ROWS, SAMPLE_BYTES = 300, 1 << 16
+#: Texts, about, on which cost and selectivity are estimated.
+SAMPLE_ROWS = 300
+#: Nanoseconds by byte, word and line that the values of a text take beyond those they are made of (measured on prose).
+COSTS = {
+    "words": (4.0, 0, 0), "n_words": (0, 0, 0), "word_chars": (0.4, 0, 0), "n_symbols": (0.5, 0, 0), "lines": (0.5, 0, 40), "n_dup_lines": (0, 0, 60), "dup_line_bytes": (0, 0, 80),
+    "n_stutter": (0, 40, 0), "n_repeat_words": (0, 350, 0), "upper_share": (3.0, 0, 0),
+}
+MADE_OF = {"n_words": ("words",), "n_dup_lines": ("lines",), "dup_line_bytes": ("lines",), "n_stutter": ("words",), "n_repeat_words": ("words",)}
 
 
 class Text:
@@ -109,39 +118,68 @@ class Text:
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: True if the text is not to be kept."""
+    """rejects: True if the text is not to be kept. needs: the values of the text that it asks for, a key of COSTS each (none: it costs as much as the words do)."""
 
     name: str
     rejects: Callable[[Text], bool]
+    needs: tuple[str, ...] = ()
+
+    def values(self) -> set[str]:
+        """What is made for it."""
+        return {x for value in self.needs or ("words",) for x in (value, *MADE_OF.get(value, ()))}
 
 
 #: The verdict's rules: the two of the contract's base, then those of the cascade.
 BASE = (
-    Rule("few_words", lambda t: t.n_words < 20),
-    Rule("repeated_words", lambda t: 100 * t.n_repeat_words > 30 * t.n_words),
+    Rule("few_words", lambda t: t.n_words < 20, ("n_words",)),
+    Rule("repeated_words", lambda t: 100 * t.n_repeat_words > 30 * t.n_words, ("n_repeat_words", "n_words")),
 )
 RULES = (
     *BASE,
-    Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
-    Rule("duplicate_lines", lambda t: 10 * t.dup_line_bytes > 3 * len(t.raw)),
-    Rule("stutter", lambda t: 10 * t.n_stutter > 3 * t.n_words),
-    Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 20 * t.n_words),
-    Rule("upper_case", lambda t: t.upper_share > 0.5),
+    Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words, ("n_symbols", "n_words")),
+    Rule("duplicate_lines", lambda t: 10 * t.dup_line_bytes > 3 * len(t.raw), ("dup_line_bytes",)),
+    Rule("stutter", lambda t: 10 * t.n_stutter > 3 * t.n_words, ("n_stutter", "n_words")),
+    Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 20 * t.n_words, ("word_chars", "n_words")),
+    Rule("upper_case", lambda t: t.upper_share > 0.5, ("upper_share",)),
 )
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """rules by falling rejections per second, as measured on the first `sample_rows` texts of up to SAMPLE_BYTES.
+def sampled(docs: DataFrame, rules: tuple[Rule, ...], text: str, sample_rows: int) -> tuple[dict[tuple[int, ...], int], dict[str, float]]:
+    """(how many texts of the sample just these rules reject, by their places; what each value costs over the sample)."""
+    share = max(1.0, docs.count() / sample_rows)
 
-    Those come to the driver, which reads only as many partitions as it needs for them.
-    """
-    sample = [r[0] for r in docs.select(text).where(F.octet_length(text) <= SAMPLE_BYTES).limit(sample_rows).collect()]
-    worth = []
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = sum(rule.rejects(Text(t)) for t in sample)  # a fresh text for each rule: the whole of its cost
-        worth.append(rejected / max(time.perf_counter() - began, 1e-9))
-    return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-worth[k], k)))
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        together: Counter[str] = Counter()
+        sizes: Counter[str] = Counter()
+        for b in batches:
+            for value in b.column(0).to_pylist():
+                t = Text(value or "")
+                together[",".join(str(k) for k, rule in enumerate(rules) if rule.rejects(t))] += 1
+                sizes.update({"bytes": len(t.raw), "words": t.n_words, "lines": len(t.lines)})
+        kind = ["rules"] * len(together) + ["size"] * len(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array([*together, *sizes], pa.string()), pa.array([*together.values(), *sizes.values()], pa.int64())], names=["kind", "of", "n"])
+
+    held = docs.select(text).where(F.rand(7) * share < 1).mapInArrow(measured, "kind string, of string, n bigint")
+    found = {(r["kind"], r["of"]): r["n"] for r in held.groupBy("kind", "of").agg(F.sum("n").alias("n")).collect()}
+    sizes = [found.get(("size", x), 0) for x in ("bytes", "words", "lines")]
+    costs = {value: sum(rate * size for rate, size in zip(rates, sizes, strict=True)) for value, rates in COSTS.items()}
+    return {tuple(int(x) for x in of.split(",") if x): n for (kind, of), n in found.items() if kind == "rules"}, costs
+
+
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
+    """rules in the order of the cascade."""
+    together, costs = sampled(docs, rules, text, sample_rows)
+    ordered: list[int] = []
+    made: set[str] = set()
+    while len(ordered) < len(rules):
+        def worth(k: int) -> float:
+            rejected = sum(n for places, n in together.items() if k in places and not set(places) & set(ordered))
+            return rejected / (1 + sum(costs[x] for x in rules[k].values() - made))  # what is made already is free
+
+        best = max((k for k in range(len(rules)) if k not in ordered), key=lambda k: (worth(k), -k))
+        ordered.append(best)
+        made |= rules[best].values()
+    return tuple(rules[k] for k in ordered)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", metrics: bool = False) -> DataFrame:
