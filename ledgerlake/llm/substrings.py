@@ -6,16 +6,20 @@ places; so only windows of one anchor have to be compared, and about one row for
 
 Equal runs (XXH3 of the bytes) are settled first: all but the earliest are repeats as a whole. They are found
 within each batch before the shuffle and then while streaming through each partition, sorted by anchor, so a
-hot anchor is one row for each batch that has it. What is left are different runs of one anchor; an anchor with
-very many of them is dealt in parts, each with the windows of a few distances from it. Their windows
+hot anchor is one row for each batch that has it. What is left are different runs of one anchor; the windows of an
+anchor with very many of them are dealt by their hashes to so many parts that each is small, after equal windows of
+a batch are settled (their bytes are compared), so a hot window too is one row for each batch. The windows of an
+anchor, or of a part,
 are the suffixes that start at one distance before the anchor; each such bucket is sorted by mergesort, two
 suffixes being compared by prefix polynomial hashes and a binary search for their common extension. Neighbours
 that agree in LENGTH bytes are verified byte by byte; should hashes collide, that bucket is sorted anew by its
 bytes. All but the earliest of equal windows are repeats.
 
-A null text counts as empty, texts shorter than LENGTH bytes keep all bytes. Ids order the documents, a null
-id first; rows that repeat an id are one document, each row getting its spans (an id is expected to name one
-text). An empty table gives an empty result.
+A null text counts as empty, texts shorter than LENGTH bytes keep all bytes. Each row is a document of its own.
+Ids order the documents, null ids first; rows with equal ids, null ones too, are ordered by their texts' SHA-256,
+and of rows with equal id and text all but one lose what they have, if that is LENGTH bytes or more. An empty table
+gives an empty result. Of further columns none is kept. A very long text is searched in pieces of CHUNK bytes that
+overlap; the runs of a document, about one for 35 bytes, are gathered in its row.
 """
 
 from __future__ import annotations
@@ -25,17 +29,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY_KEYS, plus, read, scratch_path, text_of
+from .common import cut, plus, read, stored, text_of
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes hashed, and suffixes sorted, at a time.
 CHUNK, SUFFIXES = 1 << 20, 400_000
-#: An anchor with more different runs than HEAVY_RUNS is dealt in parts of so many distances (at most HEAVY_KEYS are).
-HEAVY_RUNS, PART = 300, 5
+#: An anchor with more different runs than HEAVY_RUNS is dealt in parts of about so many windows.
+HEAVY_RUNS, PART = 300, 10_000
 BASE = 0x9E3779B97F4A7C15
 NULL_ID = -(2**63)
 RUNS = "key bigint, doc bigint, start bigint, n int, content bigint"
@@ -65,17 +70,21 @@ def hashes_at(s: np.ndarray, at: np.ndarray, size) -> np.ndarray:
     return (s[at + size] - s[at]) * down[at]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each k-gram, its bits mixed so that any may be the least."""
-    s = prefix_hashes(data)
-    down = powers(max(CHUNK + LENGTH, 1 << len(s).bit_length()))[1]
-    h = (s[ANCHOR:] - s[:-ANCHOR]) * down[: len(s) - ANCHOR]
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes, in place, with their bits mixed."""
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     return h
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of each k-gram, its bits mixed so that any may be the least."""
+    s = prefix_hashes(data)
+    down = powers(max(CHUNK + LENGTH, 1 << len(s).bit_length()))[1]
+    return mixed((s[ANCHOR:] - s[:-ANCHOR]) * down[: len(s) - ANCHOR])
+
+
 def runs_of(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, windows, anchor hash) of each run in data; docs says which document a byte is of. No window spans two."""
     m = len(data) - LENGTH + 1
@@ -299,38 +308,85 @@ def repeats(text: bytes, at: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return found
 
 
-def compare(runs: DataFrame) -> DataFrame:
-    """Intervals (doc, start, n) of windows that an earlier run of the same anchor has. runs: key, part, doc, start, n, piece.
+PIECES = "key bigint, part int, parts int, doc bigint, start bigint, n int, piece binary"
+
+
+def deal(runs: DataFrame) -> DataFrame:
+    """PIECES of (key, parts, doc, start, n, piece): a run goes to each part that one of its windows belongs to.
 
-    Of an anchor whose runs come in parts, a part is the windows of some distances; part -1 is all windows.
+    parts is null for an anchor that isn't dealt. Windows that an earlier one of the batch equals are intervals
+    instead (n is minus the length) and need no part.
     """
-    dealt = runs.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "start")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            light = b.filter(pa.compute.is_null(b.column(1)))
+            if light.num_rows:
+                whole = pa.array(np.zeros(light.num_rows, np.int32))
+                yield pa.RecordBatch.from_arrays([light.column(0), whole, pa.array(np.ones(light.num_rows, np.int32)), *light.columns[2:]], names=[x.split()[0] for x in PIECES.split(", ")])
+            b = b.filter(pa.compute.is_valid(b.column(1)))
+            if not b.num_rows:
+                continue
+            key, parts, doc, start, n = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+            pieces = b.column(5).to_pylist()
+            data = np.frombuffer(b"".join(pieces), np.uint8)
+            offset = np.append(0, np.cumsum([len(x) for x in pieces]))[:-1]
+            row = np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = offset[row] + k
+            hashes = mixed(hashes_at(prefix_hashes(data), at, LENGTH))
+            order = np.lexsort((start[row] + k, doc[row], hashes, key[row]))
+            new = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (key[row[order]][1:] != key[row[order]][:-1]))
+            lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            again = np.flatnonzero(~new & ((doc[row[order]] != doc[row[lead]]) | (start[row[order]] + k[order] != start[row[lead]] + k[lead])))
+            windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+            equal = np.concatenate([np.zeros(0, bool), *((windows[at[order[x]]] == windows[at[lead[x]]]).all(1) for x in np.split(again, range(20_000, len(again), 20_000)))])
+            settled = order[again[equal]]
+            d, s, e = merged(doc[row[settled]], start[row[settled]] + k[settled], start[row[settled]] + k[settled] + LENGTH)
+            if len(d):
+                none = pa.array([b""] * len(d), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(d ^ s), pa.array(np.zeros(len(d), np.int32)), pa.array(np.ones(len(d), np.int32)), pa.array(d), pa.array(s), pa.array((s - e).astype(np.int32)), none], names=[x.split()[0] for x in PIECES.split(", ")])
+            left = np.ones(len(row), bool)
+            left[settled] = False
+            to = np.unique(np.stack([row[left], (hashes[left] % parts[row[left]].astype(np.uint64)).astype(np.int64)], axis=1), axis=0)
+            r = pa.array(to[:, 0])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(r), pa.array(to[:, 1].astype(np.int32)), *(b.column(c).take(r) for c in range(1, 6))], names=[x.split()[0] for x in PIECES.split(", ")]
+            )
+
+    return runs.mapInArrow(dealt, PIECES)
+
+
+def compare(pieces: DataFrame) -> DataFrame:
+    """Intervals (doc, start, n) of windows that an earlier run of the same anchor has; those that pieces brings are passed on."""
+    placed = pieces.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "start")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def intervals(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            """rows: whole anchors; the suffixes of an anchor are taken by their distances from it, as many at a time as fit."""
-            part, doc, start, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4))
+            """rows: whole anchors, or parts; their suffixes are taken by the distances from the anchor, as many at a time as fit."""
+            part, parts, doc, start, n = (np.array([r[k] for r in rows], np.int64) for k in range(1, 6))
             group = np.cumsum(np.append(0, [x[:2] != y[:2] for x, y in zip(rows[1:], rows, strict=False)]))
-            text = b"".join(r[5] for r in rows)
-            offset = np.append(0, np.cumsum([len(r[5]) for r in rows]))[:-1]
+            text = b"".join(r[6] for r in rows)
+            offset = np.append(0, np.cumsum([len(r[6]) for r in rows]))[:-1]
+            data = np.frombuffer(text, np.uint8)
+            sums = prefix_hashes(data)
             # the anchor: the first k-gram of the first window with the least hash
-            grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(np.frombuffer(text, np.uint8)), LENGTH - ANCHOR + 1)
+            grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(data), LENGTH - ANCHOR + 1)
             ahead = np.concatenate([grams[offset[i : i + 50_000]].argmin(1) for i in range(0, len(rows), 50_000)])
-            # a row's windows are those whose anchor is least to most bytes in
-            least = np.maximum(part, 0) * PART
-            most = np.where(part < 0, LENGTH, least + PART - 1)
             step = max(1, SUFFIXES // len(rows))
             for low in range(0, LENGTH - ANCHOR + 1, step):
-                a = np.maximum(ahead - np.minimum(low + step - 1, most), 0)
-                z = np.minimum(ahead - np.maximum(low, least), n - 1)
+                a = np.maximum(ahead - (low + step - 1), 0)
+                z = np.minimum(ahead - low, n - 1)
                 count = np.maximum(z - a + 1, 0)
                 row = np.repeat(np.arange(len(rows)), count)
                 if not len(row):
                     continue
                 k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + a[row]
+                own = (parts[row] == 1) | (mixed(hashes_at(sums, offset[row] + k, LENGTH)) % parts[row].astype(np.uint64) == part[row].astype(np.uint64))
+                row, k = row[own], k[own]
                 bucket = group[row] * LENGTH + ahead[row] - k
                 by = np.argsort(bucket, kind="stable")
                 row, k, bucket = row[by], k[by], bucket[by]
@@ -340,42 +396,61 @@ def compare(runs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(s - e)], names=["doc", "start", "n"])
 
         for b in batches:
+            ready = pa.compute.less(b.column(5), 0)
+            if pa.compute.any(ready).as_py():
+                settled = b.filter(ready)
+                yield pa.RecordBatch.from_arrays([settled.column(3), settled.column(4), settled.column(5).cast(pa.int64())], names=["doc", "start", "n"])
+                b = b.filter(pa.compute.invert(ready))
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and row[:4] == held[-1][:4]:  # a repeated row
+                if held and row[:5] == held[-1][:5]:  # a repeated row
                     continue
                 if held and row[:2] != held[-1][:2] and size >= SUFFIXES:
                     yield from intervals(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[4]
+                size += row[5]
         if held:
             yield from intervals(held)
 
-    return dealt.mapInArrow(found, "doc bigint, start bigint, n bigint")
+    return placed.mapInArrow(found, "doc bigint, start bigint, n bigint")
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text and spans (array of [start, end) in bytes, ascending and apart) of the repeats of each row of docs."""
-    spark = docs.sparkSession
-    held = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_ID)).alias("doc"), text_of(text).cast("binary").alias("bytes"))
-    path = scratch_path(spark, "runs")
-    settle(find_runs(held)).write.parquet(path)
-    known = spark.read.schema(RUNS).parquet(path)
+def spans_of(held: DataFrame) -> DataFrame:
+    """(doc, bytes, found) of (doc, bytes), doc ascending and unique: the repeats as an array of [start, end) in bytes, in any order."""
+    known = stored(settle(find_runs(held)), "runs")
     open_ = known.where("n > 0")
-    heavy = open_.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HEAVY_RUNS).orderBy(F.desc("c"), "key").limit(HEAVY_KEYS).select(F.col("key").alias("_heavy"))
-    parts = F.when(F.col("_heavy").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit((LENGTH - ANCHOR) // PART)))
-    dealt = open_.join(F.broadcast(heavy), F.col("key") == F.col("_heavy"), "left").withColumn("part", F.explode(parts))
-    asked = dealt.groupBy("doc").agg(F.collect_list(F.struct("key", "part", "start", "n")).alias("asked"))
+    heavy = stored(open_.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).where(F.col("c") > HEAVY_RUNS).select("key", F.ceil(F.col("w") / PART).cast("int").alias("parts")), "heavy")
+    dealt = open_.join(heavy, "key", "left")
+    asked = dealt.groupBy("doc").agg(F.collect_list(F.struct("key", "parts", "start", "n")).alias("asked"))
     # both joins deal out the same columns of the texts, so Spark does it once
     opened = held.join(asked, "doc", "left").select("doc", "bytes", F.explode("asked").alias("r"))
     piece = F.expr(f"substring(bytes, cast(r.start + 1 as int), r.n + {LENGTH - 1})")
-    fine = compare(opened.select("r.key", "r.part", "doc", "r.start", "r.n", piece.alias("piece")))
+    runs = opened.select("r.key", "r.parts", "doc", "r.start", "r.n", piece.alias("piece"))
+    fine = compare(runs.select("key", F.lit(0).alias("part"), F.lit(1).alias("parts"), "doc", "start", "n", "piece") if heavy.isEmpty() else deal(runs))
     spans = (
         known.where("n < 0").select("doc", "start", F.col("n").cast("bigint").alias("n")).unionByName(fine)
         .groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") - F.col("n")).alias("end"))).alias("found"))
     )
-    id_ = F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(docs.schema[key].dataType)
-    return held.join(spans, "doc", "left").select(id_.alias(key), F.col("bytes").alias(text), "found")
+    return held.join(spans, "doc", "left").select("doc", "bytes", "found")
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text (bytes) and found (array of [start, end) in bytes, in any order) of each row of docs."""
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_ID)).alias("doc"), text_of(text).cast("binary").alias("bytes"))
+    named = lambda doc: F.when(F.col(doc) != NULL_ID, F.col(doc)).cast(docs.schema[key].dataType).alias(key)
+    if rows.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        return spans_of(rows.select("doc", "bytes")).select(named("doc"), F.col("bytes").alias(text), "found")
+    # ids that don't tell rows apart: different (id, text) get numbers in order, and one row of each is searched
+    hashed = rows.select("doc", "bytes", F.sha2("bytes", 256).alias("sha"))
+    classes = hashed.groupBy("doc", "sha").agg(F.count(F.lit(1)).alias("copies")).orderBy("doc", "sha")
+    classes = cut(cut(classes).withColumn("number", F.monotonically_increasing_id()))
+    texts = hashed.join(classes, ["doc", "sha"]).select(F.col("number").alias("doc"), "bytes", "copies")
+    once = texts.where("copies = 1").select("doc", "bytes").unionByName(texts.where("copies > 1").groupBy("doc").agg(F.min("bytes").alias("bytes")))
+    found = spans_of(once).join(classes.select(F.col("number").alias("doc"), F.col("doc").alias("own"), "copies"), "doc")
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
+    all_ = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.octet_length("bytes").cast("bigint").alias("end")))
+    spans = F.when((F.col("copy") > 1) & (F.octet_length("bytes") >= LENGTH), all_).otherwise(F.col("found")).alias("found")
+    return found.select("own", "bytes", "found", copy).select(named("own"), F.col("bytes").alias(text), spans)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -401,15 +476,17 @@ def op4_substrings(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH d AS (SELECT doc_id, HEX(ENCODE(COALESCE(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, UNNEST(RANGE(0, LENGTH(h) // 2 - 99)) AS p FROM d WHERE LENGTH(h) >= 200),
-r AS (SELECT doc_id, p, ROW_NUMBER() OVER (PARTITION BY MD5(SUBSTR(h, 2 * p + 1, 200)) ORDER BY doc_id, p) AS k FROM p),
-s AS (SELECT doc_id, p, CASE WHEN p <= LAG(p) OVER w + 100 THEN 0 ELSE 1 END AS fresh FROM r WHERE k > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+WITH d AS (SELECT doc_id, ENCODE(COALESCE(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, UNNEST(RANGE(0, OCTET_LENGTH(b) - 99)) AS p, UNNEST(LIST_TRANSFORM(RANGE(0, OCTET_LENGTH(b) - 99), lambda i: MD5(b[i + 1:i + 100]))) AS w FROM d WHERE OCTET_LENGTH(b) >= 100),
+r AS (SELECT doc_id, p, ROW_NUMBER() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM h),
+s AS (SELECT doc_id, p, CASE WHEN p <= LAG(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM r WHERE k > 1),
 g AS (SELECT doc_id, p, SUM(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM s),
-spans AS (SELECT doc_id, MIN(p) AS a, MAX(p) + 100 AS b FROM g GROUP BY doc_id, g),
-kept AS (SELECT doc_id, COALESCE(LAG(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans UNION ALL SELECT doc_id, MAX(b), 1000000000 FROM spans GROUP BY doc_id),
-texts AS (SELECT d.doc_id, STRING_AGG(SUBSTR(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM kept JOIN d ON d.doc_id = kept.doc_id GROUP BY d.doc_id),
-sums AS (SELECT doc_id, SUM(b - a) AS n, COUNT(*) AS c FROM spans GROUP BY doc_id)
-SELECT d.doc_id, LENGTH(h) // 2 AS n_bytes, COALESCE(n, 0)::BIGINT AS n_removed, COALESCE(c, 0)::BIGINT AS n_spans, SHA256(UNHEX(COALESCE(t.k, h))) AS kept_sha256
-FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id LEFT JOIN texts t ON d.doc_id = t.doc_id
+spans AS (SELECT doc_id, MIN(p) AS a, MAX(p) + 100 AS z FROM g GROUP BY doc_id, g),
+sums AS (SELECT doc_id, SUM(z - a) AS n, COUNT(*) AS c, LIST(a ORDER BY a) AS starts, LIST(z ORDER BY a) AS ends FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, b, n, c,
+         CASE WHEN n IS NULL THEN HEX(b) ELSE ARRAY_TO_STRING(LIST_TRANSFORM(RANGE(0, c + 1), lambda i:
+           HEX(b[CASE WHEN i = 0 THEN 1 ELSE ends[i] + 1 END:CASE WHEN i = c THEN OCTET_LENGTH(b) ELSE starts[i + 1] END])), '') END AS k
+  FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id)
+SELECT doc_id, OCTET_LENGTH(b)::BIGINT AS n_bytes, COALESCE(n, 0)::BIGINT AS n_removed, COALESCE(c, 0)::BIGINT AS n_spans, SHA256(UNHEX(k)) AS kept_sha256 FROM kept
 """
