@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import groupby
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .json_text import parse
@@ -20,10 +22,12 @@ ENTRIES = ("modified:", "new file:", "deleted:", "renamed:", "copied:", "both mo
 SECRET_PREFIXES = ("sk-", "sk_live_", "pk_live_", "rk_live_", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "AKIA", "ASIA", "AIza", "ya29.", "AGPA")
 SECRET_BYTES = 12
 SEPARATORS = r"""[^\s"',:;=(){}\[\]<>&?/\\`|]+"""
-# Beginnings of lines that an outline of code keeps.
-OUTLINE = re.compile(
-    r"#\[|@|(?:pub )?(?:use|mod|struct|enum|trait|type|const|static) |impl |(?:export )?(?:class|interface|function) |export type |(?:pub )?(?:async )?fn |.* fn ", re.S,
+# Beginnings of lines that an outline of code keeps, and what such a line may have within.
+OUTLINE = (
+    "#[", "@", "use ", "pub use ", "mod ", "pub mod ", "struct ", "pub struct ", "enum ", "pub enum ", "trait ", "pub trait ", "type ", "pub type ", "const ", "pub const ", "static ", "pub static ",
+    "impl ", "class ", "export class ", "interface ", "export interface ", "function ", "export function ", "export type ", "fn ", "pub fn ", "async fn ", "pub async fn ",
 )
+OUTLINE_WITHIN = " fn "
 MARK = "<<ref"
 
 
@@ -82,10 +86,24 @@ def redact(text: str, mark: str = MARK) -> tuple[str, list[tuple[str, str, str]]
     return re.sub(SEPARATORS, masked, text), secrets
 
 
+def redact_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, masked, secrets) of many texts: a marker for each secret token, and the tokens in order with their hashes, to be held."""
+    kind = pa.list_(pa.struct([("marker", pa.string()), ("value", pa.string()), ("hash", pa.string())]))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [redact(t or "") for t in b.column(1).to_pylist()]
+            secrets = [[dict(zip(("marker", "value", "hash"), x, strict=True)) for x in held] for _, held in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in found], pa.string()), pa.array(secrets, kind)], names=[key, "masked", "secrets"])
+
+    return df.select(key, text).mapInArrow(made, f"`{key}` {df.schema[key].dataType.simpleString()}, masked string, secrets array<struct<marker:string,value:string,hash:string>>")
+
+
 def outline(text: str) -> str:
     """Structural lines of code, with the number of other lines between them; the text itself if it has none."""
     out = []
-    kept = [(bool(OUTLINE.match(x.lstrip())), x) for x in lines(text) if x.strip() or OUTLINE.match(x.lstrip())]
+    structural_ = lambda x: x.lstrip().startswith(OUTLINE) or OUTLINE_WITHIN in x.lstrip()
+    kept = [(structural_(x), x) for x in lines(text) if x.strip()]
     if not any(k for k, _ in kept):
         return f"// ... {len(kept)} non-structural lines omitted ...\n" if kept else text
     for structural, group in groupby(kept, key=lambda x: x[0]):

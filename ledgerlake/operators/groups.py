@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.records import lines_of
@@ -68,7 +68,7 @@ def group_extreme(rel: Rel, categories: Sequence[str], field: str, highest: bool
     whole = rel.df.agg(clean(rel, field).alias("clean"))
     best = groups.agg((F.max if highest else F.min)("value").alias("best"))
     tied = groups.crossJoin(F.broadcast(best)).where(F.abs(F.col("value") - F.col("best")) <= 2.220446049250313e-16 * F.greatest(F.abs("best"), F.lit(1.0)))
-    counted = tied.withColumn("n_ties", F.count(F.lit(1)).over(Window.partitionBy("best")))
+    counted = tied.crossJoin(F.broadcast(tied.agg(F.count(F.lit(1)).alias("n_ties"))))
     good = counted.crossJoin(F.broadcast(whole)).where("clean").select(F.lit("ok").alias("status"), "key", "value", "n_ties")
     bad = whole.where("not clean").select(F.lit("refused").alias("status"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("bigint").alias("n_ties"))
     return good.unionByName(bad).orderBy("key")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.json_text import pretty
+from ..functions.json_text import parse, pretty
 from ..sources.records import lines_of
 from ..sources.rel import Rel
 from .predicates import Predicate, Refused, conjunction, keep
@@ -51,14 +52,14 @@ def page_header(n: int, start: int, limit: int) -> str:
 
 
 def byte_window(data: Column, start: int = 0, size: int = WINDOW, full: bool = False, most: int = MOST_BYTES) -> Column:
-    """A struct (text, start, end, total) of bytes from start on; text has replacement marks where code points are split."""
+    """A struct (text, start, end, total, data) of bytes from start on; text has replacement marks where code points are split, data is the bytes."""
     if full and start:
         raise Refused("all bytes, or a window of them")
     total = F.octet_length(data).cast("bigint")
     a = F.least(F.lit(start).cast("bigint"), total)
     b = F.least(a + min(size, most), total) if not full else F.least(total, F.lit(most).cast("bigint"))
     piece = F.substring(data, (a + 1).cast("int"), (b - a).cast("int"))
-    return F.struct(F.make_valid_utf8(piece.cast("string")).alias("text"), a.alias("start"), b.alias("end"), total.alias("total"))
+    return F.struct(F.make_valid_utf8(piece.cast("string")).alias("text"), a.alias("start"), b.alias("end"), total.alias("total"), piece.alias("data"))
 
 
 def line_range(texts: DataFrame, first: int | None = None, last: int | None = None, head: int | None = None, tail: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -140,6 +141,26 @@ def shown_at_path(value, path: str) -> str:
     return pretty(at_path(value, path))
 
 
+def at_paths(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """(key, shown, refused) of many JSON texts: what each has at a path, or why it has nothing there."""
+    path_steps(path)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shown, refused = [], []
+            for t in b.column(1).to_pylist():
+                found = reason = None
+                try:
+                    found = shown_at_path(parse(t or ""), path)
+                except ValueError as e:  # Refused is one
+                    reason = str(e)
+                shown.append(found)
+                refused.append(reason)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shown, pa.string()), pa.array(refused, pa.string())], names=[key, "shown", "refused"])
+
+    return df.select(key, text).mapInArrow(read, f"`{key}` {df.schema[key].dataType.simpleString()}, shown string, refused string")
+
+
 def runs(rel: Rel, predicates: Sequence[Predicate], block: int = 100_000) -> DataFrame:
     """(start, end, n): the maximal runs of consecutive rows that don't meet the predicates. Ids are dense from 0.
 

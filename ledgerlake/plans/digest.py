@@ -20,7 +20,7 @@ from ..operators.predicates import Predicate, Refused
 from ..sources.records import accepted, from_lines
 from ..sources.rel import Rel, union
 
-# The words by which questions are read.
+# The words and phrases by which questions are read.
 GROUP_HIGH, GROUP_LOW = {"highest", "largest", "most", "greatest", "maximum", "top"}, {"lowest", "smallest", "least", "minimum", "fewest"}
 HIGH, LOW = {"largest", "highest", "max", "most", "greatest", "biggest"}, {"smallest", "lowest", "min", "least", "fewest"}
 GROUPING = {"total", "sum", "average", "mean", "per", "each", "by"}
@@ -71,10 +71,13 @@ def named(fields: Sequence[str], question: str) -> str | None:
 
 
 def value_in(rel: Rel, field: str, question: str) -> str | None:
-    """The longest value of a field that occurs in the question, of those the first by text. Only values that occur leave the executors."""
+    """The longest value of a field that stands in the question as whole words, of those the first by text."""
+    literal = F.regexp_replace(F.lower("v"), r"([^A-Za-z0-9_\s])", r"\\$1")
+    whole = F.rlike(F.lit(question), F.concat(F.lit(r"(?U)(?<!\w)"), literal, F.lit(r"(?!\w)")))
     v = rel.cell(field).str
-    hits = rel.df.select(v.alias("v")).where((F.col("v") != "") & F.contains(F.lit(question), F.lower("v"))).distinct().orderBy(F.desc(F.char_length("v")), "v").limit(64)
-    return next((r[0] for r in hits.collect() if re.search(rf"(?<!\w){re.escape(r[0].lower())}(?!\w)", question)), None)
+    hit = rel.df.select(v.alias("v")).where((F.col("v") != "") & F.contains(F.lit(question), F.lower("v"))).distinct().where(whole)
+    row = hit.orderBy(F.desc(F.char_length("v")), "v").first()
+    return row and row[0]
 
 
 def read(rel: Rel, question: str, shape: Shape | None = None) -> Spec:

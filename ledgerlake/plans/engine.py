@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json_text import group_value, parse, plain
@@ -92,19 +92,19 @@ class Engine:
         return f"{found.display}\nrows: {', '.join(map(str, ids))}{more}"
 
     def bucket(self, handle: str, field: str, width: float, agg: Agg) -> str | None:
-        found = groups.bucket_aggregate(self.rel(handle), field, width, agg).collect()
-        return self._grouped(f"[index] {agg} bucketed by {field} width {plain(float(width))} -> {len(found)} buckets", [(plain(r["lower"]) if r["status"] == "ok" else None, r) for r in found])
+        n, found = self._first(groups.bucket_aggregate(self.rel(handle), field, width, agg))
+        return self._grouped(f"[index] {agg} bucketed by {field} width {plain(float(width))} -> {n} buckets", n, [(plain(r["lower"]) if r["status"] == "ok" else None, r) for r in found])
 
     def window(self, handle: str, pattern: str, lines: int) -> str:
         df = self.spark.createDataFrame([(self._bytes(handle).decode("utf-8", "replace"),)], "text string")
-        found = groups.matches_per_block(df, pattern, lines).collect()
-        return "\n".join([f"[lines] '{pattern}' per {lines}-line window -> {len(found)} non-empty windows", *(f"  {r['key_text']}: {r['n']}" for r in found[:SHOWN])])
+        n, found = self._first(groups.matches_per_block(df, pattern, lines))
+        return "\n".join([f"[lines] '{pattern}' per {lines}-line window -> {n} non-empty windows", *(f"  {r['key_text']}: {r['n']}" for r in found)])
 
     def join(self, left: str, right: str, left_key: str, right_key: str, agg: Agg, where: Sequence[dict] = (), group: str | None = None) -> str | None:
         a, b = self.rel(left), self.rel(right)
         if group is not None:
-            found = join_group_aggregate(a, b, left_key, right_key, group, agg).collect()
-            return self._grouped(f"[index] {agg} by right.{group} on {left_key}={right_key} -> {len(found)} groups", [(r["key"], r) for r in found])
+            n, found = self._first(join_group_aggregate(a, b, left_key, right_key, group, agg))
+            return self._grouped(f"[index] {agg} by right.{group} on {left_key}={right_key} -> {n} groups", n, [(r["key"], r) for r in found])
         predicates = parse_predicates(where)
         got = join_aggregate(a, b, left_key, right_key, predicates, agg).first()
         if got["status"] != "ok":
@@ -113,11 +113,15 @@ class Engine:
         ids = [x[0] for x in semi_join(a, b, left_key, right_key, predicates).df.select("row_id").orderBy("row_id").limit(SHOWN).collect()]
         return f"[index] {agg} over left ⋉ right on {left_key}={right_key}{said} ({got['n_matched']} matched left records) = {plain(got['value'])}\nrows: {', '.join(map(str, ids))}"
 
-    def _grouped(self, head: str, found: list) -> str | None:
+    def _first(self, found: DataFrame) -> tuple[int, list[Row]]:
+        """How many rows there are, and the first that are shown; the others stay where they are."""
+        return found.count(), found.limit(SHOWN).collect()
+
+    def _grouped(self, head: str, n: int, found: list) -> str | None:
         if any(r["status"] != "ok" for _, r in found):
             return None
-        more = [f"  +{len(found) - SHOWN} more"] if len(found) > SHOWN else []
-        return "\n".join([head, *(f"  {k}: {group_value(r['value'])} ({r['n_rows']} rows)" for k, r in found[:SHOWN]), *more])
+        more = [f"  +{n - SHOWN} more"] if n > SHOWN else []
+        return "\n".join([head, *(f"  {k}: {group_value(r['value'])} ({r['n_rows']} rows)" for k, r in found), *more])
 
     def check_claim(self, handle: str, agg: Agg, claimed: float, where: Sequence[dict] = ()) -> str:
         value = ask(self.rel(handle), parse_predicates(where), agg).value

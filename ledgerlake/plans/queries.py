@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.payload import secret_tokens, token_estimate
+from ..functions.payload import redact_texts, secret_tokens, token_estimate
 from ..operators import groups, rows
 from ..operators.aggregate import Agg, aggregate_where, check_claim, provenance
 from ..operators.joins import join_aggregate, join_group_aggregate
 from ..operators.predicates import Predicate
 from ..operators.profile import describe, value_counts
+from ..operators.receipts import Receipt, issue, verify
 from ..operators.reduce import reduce_payloads, reduce_to
 from ..sources.records import from_lines
 from ..sources.rel import Rel, from_table, union
-from ..sources.store import hashed
+from ..sources.store import HeldStore, hashed
+from .digest import digest, digest_across
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,11 +148,11 @@ def text_search(spark, d):
     return rows.search_lines(table(spark, d, "documents").select("doc_id", "text"), "License")
 
 
-@query("SELECT doc_id, DECODE(ENCODE(text)[11:30]) AS text, 10::BIGINT AS a, 30::BIGINT AS b, OCTET_LENGTH(ENCODE(text))::BIGINT AS total FROM documents WHERE lang = 'en' AND OCTET_LENGTH(ENCODE(text)) = LENGTH(text) AND LENGTH(text) >= 30")
+@query("SELECT doc_id, HEX(ENCODE(text)[11:30]) AS data, LEAST(10, n) AS a, LEAST(30, n) AS b, n AS total FROM (SELECT doc_id, text, OCTET_LENGTH(ENCODE(text))::BIGINT AS n FROM documents)")
 def byte_windows(spark, d):
-    docs = table(spark, d, "documents").where((F.col("lang") == "en") & (F.octet_length("text") == F.char_length("text")) & (F.char_length("text") >= 30))
-    w = docs.select("doc_id", rows.byte_window(F.col("text").cast("binary"), 10, 20).alias("w"))
-    return w.select("doc_id", "w.text", F.col("w.start").alias("a"), F.col("w.end").alias("b"), "w.total")
+    """Bytes 10 to 30 of every text, split code points included; SQL has no repair of UTF-8, so the bytes are compared."""
+    w = table(spark, d, "documents").select("doc_id", rows.byte_window(F.col("text").cast("binary"), 10, 20).alias("w"))
+    return w.select("doc_id", F.hex("w.data").alias("data"), F.col("w.start").alias("a"), F.col("w.end").alias("b"), "w.total")
 
 
 @query("""WITH dropped AS (SELECT event_id FROM events WHERE NOT (event_type = 'click')),
@@ -360,3 +364,68 @@ def reduce_documents(spark, d):
     out = reduce_payloads(docs, "doc_id", "text", lambda data: reduce_to(data, reduction=0.8))
     whole = F.sha2(F.aggregate("segments", F.lit("").cast("binary"), lambda a, s: F.concat(a, s["data"])), 256)
     return out.select("doc_id", "tokens_before", "tokens_after", F.size("segments").alias("n_segments"), whole.alias("sha256"))
+
+
+@query("SELECT doc_id, CEIL(LENGTH(text) / 4.0)::BIGINT AS tokens_before, TRUE AS no_longer, SHA256(text) AS sha256 FROM documents")
+def reduce_round_trip(spark, d):
+    """Every document reduced to a tenth and put together again from its segments."""
+    out = reduce_payloads(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", lambda data: reduce_to(data, reduction=0.9))
+    whole = F.sha2(F.aggregate("segments", F.lit("").cast("binary"), lambda a, s: F.concat(a, s["data"])), 256)
+    return out.select("doc_id", "tokens_before", (F.col("tokens_after") <= F.greatest("tokens_before", F.lit(40))).alias("no_longer"), whole.alias("sha256"))
+
+
+_QUESTIONS = ("how many records are there", "how many distinct o_orderstatus", "how many o_orderstatus f", "how many have o_totalprice above 150000", "how many o_orderpriority 1-urgent", "who ordered this")
+
+
+@query("""WITH n AS (SELECT COUNT(*) AS n, COUNT(DISTINCT o_orderstatus) AS s, COUNT(*) FILTER (o_orderstatus = 'F') AS f, COUNT(*) FILTER (o_totalprice > 150000) AS t, COUNT(*) FILTER (o_orderpriority = '1-URGENT') AS u FROM orders)
+SELECT 'how many records are there' AS question, '[index] count over ' || n || ' records = ' || n AS answer FROM n
+UNION ALL SELECT 'how many distinct o_orderstatus', '[index] distinct(o_orderstatus) over ' || n || ' records = ' || s || ' values' FROM n
+UNION ALL SELECT 'how many o_orderstatus f', '[index] count(o_orderstatus="F") over ' || n || ' records = ' || f FROM n
+UNION ALL SELECT 'how many have o_totalprice above 150000', '[index] count(o_totalprice > 150000) over ' || n || ' records = ' || t FROM n
+UNION ALL SELECT 'how many o_orderpriority 1-urgent', '[index] count(o_orderpriority="1-URGENT") over ' || n || ' records = ' || u FROM n
+UNION ALL SELECT 'who ordered this', NULL""")
+def digest_questions(spark, d):
+    r = rel(spark, d, "orders", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    return spark.createDataFrame([(q, digest(r, q)) for q in _QUESTIONS], "question string, answer string")
+
+
+@query("SELECT '[index] count over ' || COUNT(*) || ' records = ' || COUNT(*) AS answer FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def digest_two_payloads(spark, d):
+    r = rel(spark, d, "orders", "o_orderstatus")
+    parts = [rows.subset(r, [Predicate("o_orderstatus", "eq", s)]) for s in "FO"]
+    return spark.createDataFrame([(digest_across([*parts, None], "how many records"),)], "answer string")
+
+
+@query("SELECT event_id, props ->> '$.k' AS shown FROM events")
+def json_path_at(spark, d):
+    return rows.at_paths(table(spark, d, "events"), "event_id", "props", "$.k").select("event_id", "shown")
+
+
+@query("""SELECT doc_id, 'key=' || CASE WHEN LENGTH(a) >= 12 THEN '<<ref-redacted:' || SUBSTR(SHA256(a), 1, 12) || '>>' ELSE a END || ' (<<ref-redacted:' || SUBSTR(SHA256(b), 1, 12) || '>>) ghp_x' AS masked,
+CASE WHEN LENGTH(a) >= 12 THEN a || ',' ELSE '' END || b AS secrets FROM (SELECT doc_id, 'sk-' || REPEAT('a', (doc_id % 20)::INT) AS a, 'AKIA' || doc_id || 'ABCDEFGH' AS b FROM documents)""")
+def redact_marked(spark, d):
+    tokens = F.concat(F.lit("key=sk-"), F.expr("repeat('a', cast(doc_id % 20 as int))"), F.lit(" (AKIA"), F.col("doc_id").cast("string"), F.lit("ABCDEFGH) ghp_x"))
+    out = redact_texts(table(spark, d, "documents").select("doc_id", tokens.alias("text")), "doc_id", "text")
+    return out.select("doc_id", "masked", F.array_join(F.transform("secrets", lambda x: x["value"]), ",").alias("secrets"))
+
+
+_RAW = "c_custkey || ':' || c_mktsegment"
+
+
+@query(f"SELECT 'Valid' AS verdict, COUNT(*)::DOUBLE AS value, COUNT(*) AS n, SHA256('[' || STRING_AGG({_RAW}, ',' ORDER BY c_custkey) || ']') AS backing_sha256 FROM customer WHERE c_mktsegment = 'BUILDING'")
+def receipt_round_trip(spark, d):
+    """A receipt issued, written, read and verified."""
+    r = rel(spark, d, "customer", "c_mktsegment")
+    r = Rel(r.df.withColumn("raw", F.concat_ws(":", F.col("c_custkey").cast("string"), "c_mktsegment")), r.fields)
+    got = Receipt.from_json(issue(r, [Predicate("c_mktsegment", "eq", "BUILDING")], Agg("count"), b"held").to_json())
+    return spark.createDataFrame([(verify(got, r), got.value, len(got.matched), got.backing_sha256)], "verdict string, value double, n bigint, backing_sha256 string")
+
+
+@query("SELECT COUNT(*) AS blobs, SUM(OCTET_LENGTH(ENCODE(text)))::BIGINT AS total_bytes, 0::BIGINT AS corrupt FROM (SELECT DISTINCT text FROM documents)")
+def store_held(spark, d):
+    """All documents put into a store, twice."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerlake-")
+    store = HeldStore(spark, f"{folder.rstrip('/')}/held-{uuid.uuid4().hex}")
+    for _ in range(2):
+        store.put(table(spark, d, "documents"), "text")
+    return store.stats()

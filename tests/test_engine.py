@@ -11,13 +11,13 @@ from ledgerlake.plans.engine import Engine
 from ledgerlake.sources.rel import Rel
 from ledgerlake.sources.synthetic import NEEDLE, pods
 
-DATA = [{"name": f"n{i}", "cid": i % 3, "v": i * 1.5, "s": "ok" if i % 4 else "bad"} for i in range(30)]
+DATA = [{"name": f"n{i}", "dock": i % 3, "v": i * 1.5, "s": "ok" if i % 4 else "bad"} for i in range(30)]
 
 
 def test_engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "held"))
     h = e.ingest(json.dumps(DATA).encode()).split("\n")[0]
-    right = e.ingest(b'[{"id":0,"g":"x"},{"id":1,"g":"y"},{"id":2,"g":"x"}]').split("\n")[0]
+    right = e.ingest(b'[{"berth":0,"g":"x"},{"berth":1,"g":"y"},{"berth":2,"g":"x"}]').split("\n")[0]
     assert e.aggregate(h, Agg("sum", "v"), [{"field": "s", "op": "=", "value": "bad"}]).startswith('[index] sum(v) where s == "bad" over 8 matched records = 168\nrows: 0, 4, 8')
     part = e.select(h, [{"field": "v", "op": "<", "value": 4}])
     assert json.loads(e.store.get(part)) == DATA[:3]
@@ -25,8 +25,8 @@ def test_engine(spark, tmp_path):
     with pytest.raises(Refused):
         e.pick(h, [99])
     assert e.bucket(h, "v", 20, Agg("count")).splitlines()[1] == "  0: 14 (14 rows)"
-    assert e.join(h, right, "cid", "id", Agg("count"), group="g").splitlines()[1:] == ['  "x": 20 (20 rows)', '  "y": 10 (10 rows)']
-    assert "(10 matched left records) = 10" in e.join(h, right, "cid", "id", Agg("count"), [{"field": "g", "op": "eq", "value": "y"}])
+    assert e.join(h, right, "dock", "berth", Agg("count"), group="g").splitlines()[1:] == ['  "x": 20 (20 rows)', '  "y": 10 (10 rows)']
+    assert "(10 matched left records) = 10" in e.join(h, right, "dock", "berth", Agg("count"), [{"field": "g", "op": "eq", "value": "y"}])
     assert e.digest(h, "how many records are there").endswith("= 30") and "30 records, 4 fields" in e.describe(h)
     receipt = e.receipt(h, Agg("max", "v"))
     assert e.verify_receipt(h, receipt) == "Valid" and e.verify_receipt(h, "{}") == "MalformedReceipt" and e.verify_receipt(part, receipt) == "ValueMismatch"
