@@ -20,6 +20,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,19 @@ TOKENS, CLOSING_ID, POOL = 4096, 2, 512
 LIMITS = (TOKENS, 64, 3584)
 #: The characters at a document's start for one of its first ids that bear no loss, so that about the first quarter counts as its prompt.
 PROMPT = 16
-#: Bytes of words and ids that a Python worker remembers in each of two tables, and of the longest word.
-REMEMBERED, LONGEST = 48 << 20, 100
+#: Bytes that a Python worker remembers of words and of their parts, which cost more to make, and of the longest of either.
+WORD_BYTES, PART_BYTES, LONGEST = 48 << 20, 64 << 20, 100
+ID = attrgetter("id")
 RESULTS = ("start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset")
 
 
 class Words(dict):
-    """Values by key; one that is missing is made, and kept if its key is short. When half of REMEMBERED is full, what it
+    """Values by key; one that is missing is made, and kept if its key is short. When half of `most` bytes are full, what it
     has becomes the old half, from which keys that are asked for again come back; the old half before is dropped."""
 
-    def __init__(self, made: Callable):
+    def __init__(self, made: Callable, most: int):
         super().__init__()
-        self.made, self.bytes, self.old = made, 0, {}
+        self.made, self.most, self.bytes, self.old = made, most, 0, {}
 
     def __missing__(self, key) -> bytes:
         found = self.old.get(key)
@@ -54,7 +56,7 @@ class Words(dict):
             found = self.made(key)
         if len(key) <= LONGEST:
             self.bytes += len(key) + len(found) + 160  # with what Python needs for both and their place
-            if self.bytes > REMEMBERED // 2:
+            if self.bytes > self.most // 2:
                 self.old, self.bytes = dict(self), 0
                 self.clear()
             self[key] = found
@@ -76,7 +78,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.parts = Words(self.whole), Words(self.part)
+        self.words, self.parts = Words(self.whole, WORD_BYTES), Words(self.part, PART_BYTES)
         # the signs by which a byte-level model writes bytes: printable Latin-1 as it is, the others from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
@@ -84,14 +86,19 @@ class WordIds:
 
     def part(self, text: str) -> bytes:
         """Ids of a run of lower-case letters or of marks, straight from the model."""
-        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.signs)) if text else []
-        return np.array([x.id for x in found], "<u4").tobytes()
+        if not text:
+            return b""
+        signs = text if text.isascii() else text.encode().decode("latin-1").translate(self.signs)  # ASCII marks and letters are their own signs
+        return np.array([*map(ID, self.model.tokenize(signs))], "<u4").tobytes()
 
     def whole(self, w: bytes) -> bytes:
         """Ids of a word. One with an added token such as <|endoftext|> is never letters and then marks, so the tokenizer sees it."""
+        if w.isalpha():  # of bytes: ASCII letters alone
+            return self.parts[w.decode().lower()]
         word = w.decode("utf-8", "replace")
         if m := self.LETTERS_THEN_MARKS.fullmatch(word):
-            return self.parts[m[1].lower()] + self.parts[m[2]]
+            letters, marks = m.groups()
+            return self.parts[letters.lower()] + self.parts[marks] if marks else self.parts[letters.lower()]
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
